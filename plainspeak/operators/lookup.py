@@ -2,11 +2,13 @@
 
 Word frequencies are skewed: one word may hold a large part of all tokens. A plain
 shuffle join would send all of them to one task, and a plain broadcast join fails when
-the word table is large. The lookup here works in two tiers:
+the word table is large. So the size of the word table is measured first:
 
-* frequent words, by counting at most ``FREQUENT_LIMIT`` rows, are broadcast;
-* only tokens not found there take part in a shuffle join, with a salt on both sides, so
-  that even a frequent word that is missing from the table is spread over tasks.
+* a table of at most ``BROADCAST_BYTES`` is broadcast;
+* of a larger one the frequent words, by counting at most ``FREQUENT_LIMIT`` short words,
+  are broadcast. Only tokens not found there take part in a shuffle join, salted on both
+  sides, so that a word that is frequent among the tokens but not in the table is spread
+  over tasks too. (Spark's adaptive skew join splits what is still uneven.)
 """
 
 from __future__ import annotations
@@ -14,30 +16,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 32 * 1024 * 1024
+ROW_BYTES = 24  # beside the word itself
 FREQUENT_LIMIT = 100_000
 FREQUENT_LENGTH = 64
-SALTS = 32
+SALTS = 8
 
 
 def split_by_frequency(
-    words: DataFrame, word: str = "word", count: str = "n", limit: int | None = None
+    words: DataFrame, word: str = "word", count: str = "n", budget: int | None = None,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Split a table of distinct words into a frequent and a rare part.
+    """Split a table of distinct words into a part to broadcast and the rest.
 
     A word is frequent if it holds at least ``1/limit`` of all counts, so there are at
-    most ``limit`` frequent words, whatever the distribution. If the whole table has no
-    more rows than the limit, all (not overlong) words are frequent. The rare part is
-    None when there is nothing in it.
+    most ``limit`` frequent words, whatever the distribution. The rest is None when the
+    whole table is small enough.
     """
+    budget = BROADCAST_BYTES if budget is None else budget
     limit = FREQUENT_LIMIT if limit is None else limit
-    size, total, longest = words.agg(
-        F.count("*"), F.sum(count), F.max(F.length(word))
+    size, total = words.agg(
+        F.sum(F.octet_length(word) + F.lit(ROW_BYTES)), F.sum(count)
     ).first()
-    short = F.length(word) <= FREQUENT_LENGTH
-    if size <= limit:
-        frequent = words.filter(short)
-        rare = None if (longest or 0) <= FREQUENT_LENGTH else words.filter(~short)
-        return frequent, rare
+    if (size or 0) <= budget:
+        return words, None
+    short = F.octet_length(word) <= FREQUENT_LENGTH
     often = F.col(count).cast("double") * F.lit(float(limit)) >= F.lit(float(total))
     return words.filter(short & often), words.filter(~(short & often))
 
@@ -50,6 +53,7 @@ def look_up(
     word: str = "word",
     count: str = "n",
     salt_from: list[str] | None = None,
+    budget: int | None = None,
     limit: int | None = None,
     salts: int | None = None,
 ) -> DataFrame:
@@ -59,7 +63,7 @@ def look_up(
     ``salt_from`` names the token columns the salt is made of; by default all of them.
     """
     salts = SALTS if salts is None else salts
-    frequent, rare = split_by_frequency(words, word, count, limit)
+    frequent, rare = split_by_frequency(words, word, count, budget, limit)
     first = frequent.select(
         F.col(word).alias("__key"), *[F.col(v).alias(f"__f_{v}") for v in values]
     )
@@ -84,8 +88,9 @@ def look_up(
         *[F.col(v).alias(f"__r_{v}") for v in values],
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("__rare_salt"),
     )
+    # The rest is larger than what may be broadcast, whatever its estimate says.
     joined = left.join(
-        second,
+        second.hint("merge"),
         (F.col("__rare_key") == F.col("__rare_word")) & (F.col("__salt") == F.col("__rare_salt")),
         "left",
     )

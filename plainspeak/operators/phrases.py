@@ -64,9 +64,10 @@ def join_phrases(docs: DataFrame, lexicon: DataFrame, key: str, text: str) -> Da
     most one pair; other words separated by one space. ``key`` is unique.
 
     In a run of consecutive lexicon pairs every second one is joined, starting with the
-    first. Runs are found with windows over one document, which share one shuffle.
+    first. Runs are found with windows over one document. Texts are shuffled before they
+    are taken apart: that moves a text once, not a row a word.
     """
-    words = compute_once(docs.select(key, text), "w", X.words(text))
+    words = compute_once(docs.select(key, text).repartition(key), "w", X.words(text))
     pair_key = F.concat_ws(" ", "word", "next")
     placed = words.select(
         key,

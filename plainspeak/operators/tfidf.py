@@ -28,9 +28,15 @@ def ml_words(text):
 
 
 def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, tfidf. ``key`` is unique."""
+    """key, term, tf, tfidf. ``key`` is unique.
+
+    Texts are shuffled whole, before they are taken apart; terms are then counted within
+    the document's task.
+    """
     counts = stored(
-        docs.select(key, F.explode(ml_words(text)).alias("term"))
+        docs.select(key, text)
+        .repartition(key)
+        .select(key, F.explode(ml_words(text)).alias("term"))
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf")),
         "term-counts",

@@ -48,22 +48,26 @@ def fit_vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     return ranked.select("word", "n", "idx")
 
 
-def encode(
+def known_ids(
     docs: DataFrame,
     vocabulary: DataFrame,
     key: str,
     text: str,
-    length: int = SEQUENCE_LENGTH,
+    budget: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Word numbers of each text: unknown words dropped, the last ``length`` kept, zeros
-    in front. Columns: key, encoded. ``key`` is unique; texts without a known word come
-    out as all zeros. A group in the final step is one document."""
+    """Word numbers of each text in order, unknown words dropped. Columns: key, ids.
+    ``key`` is unique; texts without a known word have an empty list.
+
+    Numbers are gathered into lists in the map tasks, so what is shuffled is one compact
+    list a document, not a row a word. A group is one document.
+    """
     found = look_up(
         tokens(docs, key, text, keep_empty=True),
         vocabulary,
         ["idx"],
         salt_from=[key, "pos"],
+        budget=budget,
         limit=limit,
     )
     # The list skips NULLs, so only known words travel to the document's task.
@@ -72,8 +76,22 @@ def encode(
         F.struct(F.col("pos"), F.col("idx").cast("int").alias("idx")),
     )
     lists = found.groupBy(key).agg(F.collect_list(known).alias("known"))
-    ids = F.transform(F.array_sort("known"), lambda p: p["idx"])
-    return lists.select(key, pad_front(ids, length).alias("encoded"))
+    return lists.select(key, F.transform(F.array_sort("known"), lambda p: p["idx"]).alias("ids"))
+
+
+def encode(
+    docs: DataFrame,
+    vocabulary: DataFrame,
+    key: str,
+    text: str,
+    length: int = SEQUENCE_LENGTH,
+    budget: int | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """The last ``length`` known word numbers of each text, zeros in front. Columns: key,
+    encoded. Texts without a known word come out as all zeros."""
+    ids = known_ids(docs, vocabulary, key, text, budget, limit)
+    return ids.select(key, pad_front("ids", length).alias("encoded"))
 
 
 def pad_front(ids, length: int = SEQUENCE_LENGTH):
@@ -114,36 +132,33 @@ def pool_vectors(
     """Mean and maximum, per dimension, of the vectors of all known words of a text;
     zeros for texts without one. Columns: key, n_words, mean, max.
 
-    Words are counted per document first, so each distinct word of a document meets its
-    vector once. Words numbered ``limit`` or more have zero vectors; they need no look-up
-    and enter as a weighted zero. The broadcast side has fewer than ``limit`` rows.
+    Numbers are gathered per document first; everything after that stays in the
+    document's task. Words are counted there, so each distinct word of a document meets
+    its vector once. Words numbered ``limit`` or more have zero vectors and share one
+    weighted zero row. The broadcast side has fewer than ``limit`` rows.
     """
-    found = look_up(
-        tokens(docs, key, text, keep_empty=True), vocabulary, ["idx"], salt_from=[key, "pos"]
+    ids = known_ids(docs, vocabulary, key, text)
+    slot = F.when(F.col("idx") < limit, F.col("idx")).otherwise(F.lit(0))
+    counted = (
+        ids.select(key, F.size("ids").cast("bigint").alias("n_words"), F.explode_outer("ids").alias("idx"))
+        .groupBy(key, "n_words", slot.alias("slot"))
+        .agg(F.count("*").alias("times"))
     )
-    # Words without a vector of their own share number 0, the zero row.
-    slot = F.when(F.col("idx").isNotNull() & (F.col("idx") < limit), F.col("idx")).when(
-        F.col("idx").isNotNull(), F.lit(0)
+    bounded = matrix.filter(F.col("idx") < limit).select(
+        F.col("idx").cast("int").alias("slot"), array_to_vector("vec").alias("v")
     )
-    counted = found.groupBy(key, slot.alias("slot")).agg(F.count("*").alias("times"))
-    bounded = matrix.filter(F.col("idx") < limit).select(F.col("idx").alias("slot"), "vec")
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dimension)
+    zeros = array_to_vector(F.array_repeat(F.lit(0.0), dimension))
     weighted = counted.join(F.broadcast(bounded), "slot", "left").select(
-        key,
-        F.when(F.col("slot").isNotNull(), F.col("times").cast("double"))
-        .otherwise(F.lit(0.0))
-        .alias("times"),
-        array_to_vector(F.coalesce("vec", zeros)).alias("v"),
+        key, "n_words", "times", F.coalesce("v", zeros).alias("v")
     )
-    summary = Summarizer.metrics("mean", "max").summary(F.col("v"), F.col("times"))
-    pooled = weighted.groupBy(key).agg(
-        summary.alias("s"), F.sum("times").cast("bigint").alias("n_words")
-    )
-    wide = F.array_repeat(F.lit(0.0), dimension)
-    has_words = F.col("n_words") > 0
-    return pooled.select(
-        key,
-        "n_words",
-        F.when(has_words, vector_to_array("s.mean")).otherwise(wide).alias("mean"),
-        F.when(has_words, vector_to_array("s.max")).otherwise(wide).alias("max"),
+    summary = Summarizer.metrics("mean", "max").summary(F.col("v"), F.col("times").cast("double"))
+    return (
+        weighted.groupBy(key, "n_words")
+        .agg(summary.alias("s"))
+        .select(
+            key,
+            "n_words",
+            vector_to_array("s.mean").alias("mean"),
+            vector_to_array("s.max").alias("max"),
+        )
     )
