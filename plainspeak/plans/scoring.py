@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels
 
@@ -36,6 +37,9 @@ def array_model(
     (rows, length) to a 2-d array of class scores (rows, 3).
     """
     predict = predict_batch_udf(
-        make_predict, return_type="array<float>", batch_size=batch_size, input_tensor_shapes=[[length]]
+        make_predict,
+        return_type=T.ArrayType(T.FloatType()),
+        batch_size=batch_size,
+        input_tensor_shapes=[[length]],
     )
     return lambda frame: frame.withColumn("scores", predict(F.col(encoded)))
