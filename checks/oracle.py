@@ -176,7 +176,31 @@ _F1 = " + ".join(
 )
 _CLASSES = " + ".join(f"(t{c} + p{c} > 0)::INT" for c in (0, 1, 2))
 
+# Multinomial naive Bayes on term weights, smoothing 1: fitted on Train and Dev, applied to Test.
+_BAYES = rf"""{CORPUS}, {LABELLED}, data AS (
+  SELECT c.doc_id, c.text_clean, l.label_id, l."set" = 'Test' AS test
+  FROM corpus c JOIN labelled l USING (doc_id) WHERE c.text_clean <> ''),
+terms AS (
+  SELECT doc_id, label_id, test, unnest(CASE WHEN t <> '' THEN string_split_regex(t, '{_BREAKS}') ELSE [] END) AS term
+  FROM (SELECT *, rtrim(text_clean, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM data)),
+tf AS (SELECT doc_id, label_id, test, term, count(*) AS tf FROM terms GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM data WHERE NOT test) + 1)::DOUBLE / (count(*) + 1)) AS idf
+  FROM tf WHERE NOT test GROUP BY term),
+sums AS (SELECT label_id, term, sum(tf * idf) AS w FROM tf JOIN idf USING (term) WHERE NOT test GROUP BY ALL),
+classes AS (
+  SELECT label_id, ln(n + 1) - ln(sum(n) OVER () + count(*) OVER ()) AS prior, ln(total + (SELECT count(*) FROM idf)) AS denom
+  FROM (SELECT label_id, count(*) AS n FROM data WHERE NOT test GROUP BY label_id)
+  JOIN (SELECT label_id, sum(w) AS total FROM sums GROUP BY label_id) USING (label_id)),
+likelihood AS (
+  SELECT t.doc_id, c.label_id, sum(t.tf * i.idf * (ln(coalesce(s.w, 0) + 1) - c.denom)) AS ll
+  FROM tf t JOIN idf i USING (term) CROSS JOIN classes c
+  LEFT JOIN sums s ON s.term = t.term AND s.label_id = c.label_id WHERE t.test GROUP BY ALL)
+SELECT d.doc_id, d.label_id, CAST(arg_max(c.label_id, c.prior + coalesce(k.ll, 0)) AS INTEGER) AS prediction
+FROM data d CROSS JOIN classes c LEFT JOIN likelihood k ON k.doc_id = d.doc_id AND k.label_id = c.label_id
+WHERE d.test GROUP BY ALL"""
+
 ORACLE = {
+    "model_nb": f"WITH {_BAYES}",
     "comments_projection": f"""WITH {COMMENTS}
 SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE "timestamp" END AS "timestamp", "user", comment
 FROM comments""",

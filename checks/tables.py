@@ -162,6 +162,7 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "documents.parquet")
         .parquet(folder)
     )
+    stream = spread(stream, "doc_id", like=table(spark, folder, "documents"))
     events = table(spark, folder, "events").select("event_id", "ts", "user_id")
     return _comment_columns(stream.join(events, F.col("doc_id") == F.col("event_id")), "n_chars")
 

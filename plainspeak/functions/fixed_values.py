@@ -38,6 +38,13 @@ WHITESPACE_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 
+# The same characters one by one.
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- Fixed values: labels ------------------------------------------------------
 LABEL_NAMES = {0: "Clean", 1: "Offensive", 2: "Hate"}
 LABEL_CAPITALS = {0: "CLEAN", 1: "OFFENSIVE", 2: "HATE"}

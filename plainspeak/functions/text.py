@@ -95,10 +95,16 @@ def strip_emoji(text: Column | str, extended: bool = False) -> Column:
     return stripped if extended else F.when(may_hold_emoji(text), stripped).otherwise(text)
 
 
+def _split_at(text: Column | str, characters: str) -> Column:
+    """Non-empty pieces between the given characters. Mapping characters to a space and
+    splitting at the single space needs no regular expression."""
+    spaced = F.translate(_column(text), characters, " " * len(characters))
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
+
+
 def words(text: Column | str) -> Column:
     """White-space separated words (Unicode white space), no empty ones."""
-    parts = F.split(_column(text), f"[{V.WHITESPACE_CLASS}]+")
-    return F.filter(parts, lambda w: w != "")
+    return _split_at(text, V.WHITESPACE_CHARACTERS)
 
 
 def strip(text: Column | str) -> Column:
@@ -140,9 +146,7 @@ def preprocess(
 def vocabulary_words(text: Column | str) -> Column:
     """Words as the vocabulary sees them: listed punctuation, tab and newline are
     separators, case is kept, apostrophe and underscore belong to words."""
-    spaces = " " * len(V.VOCABULARY_SEPARATORS)
-    spaced = F.translate(_column(text), V.VOCABULARY_SEPARATORS, spaces)
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return _split_at(text, V.VOCABULARY_SEPARATORS)
 
 
 def strip_punctuation(text: Column | str) -> Column:

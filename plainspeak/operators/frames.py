@@ -18,18 +18,22 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*others, F.explode(F.array(value)).alias(name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, like: DataFrame | None = None) -> DataFrame:
     """Give a small input one task per core; leave large inputs alone.
 
     An input with no more scan tasks than the cluster has cores (for instance one file
     with one row group) would keep most cores idle in the text work that follows. Hash
     partitioning on the row key also serves a later grouping by that key. An input
     with more scan tasks than cores is returned as it is, without a shuffle.
+
+    A stream has no scan tasks before it runs: ``like`` is a batch read of the same input
+    to count them from. Without it a stream is returned as it is.
     """
-    if df.isStreaming:
+    scan = df if like is None else like
+    if scan.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
+    if scan.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores, key)
 

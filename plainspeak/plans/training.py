@@ -25,6 +25,12 @@ SEED = 17
 TEXT_MODELS = ("logistic_regression", "naive_bayes", "decision_tree", "random_forest")
 VECTOR_MODELS = ("word_vectors",)
 
+# Tree learners hold a bin number for every feature of every row, present or not, so a
+# row costs four bytes a vocabulary word. Linear models keep rows sparse and take Spark's
+# own vocabulary size.
+TREE_VOCABULARY = 2**15
+TREE_MODELS = ("decision_tree", "random_forest")
+
 
 def feature_stages(text: str = "text_clean", vocabulary_size: int | None = None) -> list:
     count = CountVectorizer(inputCol="words", outputCol="raw_features")
@@ -62,6 +68,8 @@ def build_model(
     if name in VECTOR_MODELS:
         assemble = VectorAssembler(inputCols=["pooled"], outputCol="features")
         return Pipeline(stages=[assemble, classifier(name, label, inputs)])
+    if vocabulary_size is None and name in TREE_MODELS:
+        vocabulary_size = TREE_VOCABULARY
     return Pipeline(stages=[*feature_stages(text, vocabulary_size), classifier(name, label)])
 
 

@@ -75,6 +75,16 @@ def finish(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def follow(query: StreamingQuery, show: Callable[[], None], seconds: float = 20.0) -> None:
+    """Call ``show`` every so many seconds while the query is alive; an interrupt stops the
+    query, its failure is raised here."""
+    try:
+        while not query.awaitTermination(seconds):
+            show()
+    except KeyboardInterrupt:
+        query.stop()
+
+
 def is_alive(query: StreamingQuery) -> bool:
     return query.isActive
 

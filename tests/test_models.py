@@ -93,3 +93,42 @@ def test_array_model(spark):
     )
     got = from_scores(array_model(make_predict, length=3)(df))
     assert [r["prediction"] for r in got.orderBy("timestamp").collect()] == [2, 0]
+
+
+def test_stream_to_array_model(spark, tmp_path):
+    """Stream, clean, encode, score with an array model, deliver."""
+    import json
+
+    from plainspeak.operators.vocabulary import fit_vocabulary
+    from plainspeak.plans.encoding import encode_comments
+    from plainspeak.session import stored
+    from plainspeak.sources.comments import stream_comments
+    from plainspeak.streaming import sinks
+    from plainspeak.streaming.board import Board
+
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i, text in enumerate(["good fine", "hate burn", "Good @x unseen", "hate", "same", "same"]):
+        record = {"user": f"u{i}", "comment": text, "timestamp": str(1000.5 + i)}
+        (inbox / f"{i}.json").write_text(json.dumps(record))
+    fitted = spark.createDataFrame([(1, "hate burn"), (2, "good fine")], "id bigint, t string")
+    vocabulary = stored(fit_vocabulary(fitted, "id", "t"), "vocabulary")
+
+    def make_predict():
+        def predict(batch):
+            ids = np.asarray(batch)
+            bad, good = np.isin(ids, [1, 2]).any(axis=1), np.isin(ids, [3, 4]).any(axis=1)
+            return np.stack([good, ~(good | bad), bad], axis=1).astype(np.float32)
+
+        return predict
+
+    model = array_model(make_predict)
+
+    def score(batch):
+        return from_scores(model(encode_comments(clean_comments(batch), vocabulary)), "comment_norm")
+
+    board = Board(spark, str(tmp_path / "board"), score)
+    sinks.finish(board.start(stream_comments(spark, str(inbox), files_per_trigger=4), every=None))
+    rows = board.table("scored").orderBy("timestamp").collect()
+    assert [r["prediction"] for r in rows] == [0, 2, 0, 2, 1, 1]
+    assert [r["comment"] for r in rows][:3] == ["good fine", "hate burn", "good unseen"]

@@ -145,3 +145,11 @@ def test_intake_counter(spark):
     spark.range(12).observe(seen, F.count(F.lit(1)).alias("rows")).count()
     assert seen.get["rows"] == 12
     assert sinks.count_intake(spark.range(3)).count() == 3
+
+
+def test_follow(spark, tmp_path):
+    add_files(tmp_path / "in", 0, 3)
+    query = sinks.append_table(stream_comments(spark, str(tmp_path / "in")), str(tmp_path / "out"), every=None)
+    shown = []
+    sinks.follow(query, lambda: shown.append(query.isActive), seconds=0.2)
+    assert not query.isActive and spark.read.parquet(str(tmp_path / "out" / "table")).count() == 3
