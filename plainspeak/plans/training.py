@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import VECTOR_VOCABULARY_LIMIT
 from ..operators import metrics
 from ..operators.vocabulary import embedding_matrix, fit_vocabulary, pool_vectors
 from ..session import stored
@@ -93,7 +94,9 @@ class VectorFeatures:
     @classmethod
     def fit(cls, docs: DataFrame, vectors: DataFrame, key: str, text: str, dimension: int):
         vocabulary = fit_vocabulary(docs, key, text)
-        matrix = stored(embedding_matrix(vocabulary, vectors, dimension), "matrix")
+        # Words beyond the limit have zero vectors; pooling does not look them up.
+        with_vector = vocabulary.filter(F.col("idx") < VECTOR_VOCABULARY_LIMIT)
+        matrix = stored(embedding_matrix(with_vector, vectors, dimension), "matrix")
         return cls(vocabulary, matrix, dimension)
 
     def transform(self, docs: DataFrame, key: str, text: str) -> DataFrame:
