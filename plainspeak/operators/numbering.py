@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..session import stored
 
@@ -14,26 +15,19 @@ _PARTITION_SHIFT = 33  # monotonically_increasing_id: partition number above bit
 def number_rows(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """Rows numbered from ``start`` in the given (total) order.
 
-    A range-partitioned sort puts row ranges into tasks; each row takes its place
-    within its task; the places are shifted by the sizes of the tasks before. Only one
-    number per task is ever gathered. The sorted rows are written once, so both passes
-    see the same task boundaries even if executors are lost in between.
+    A range-partitioned sort puts row ranges into tasks; each row takes its place within
+    its task; the places are shifted by the sizes of the tasks before. The sorted rows are
+    written once, so both passes see the same task boundaries even if executors are lost
+    in between. The driver gets one number a sort task, which does not grow with the rows.
     """
     place = "__place"
     placed = stored(
         df.orderBy(*order).withColumn(place, F.monotonically_increasing_id()), "numbered"
     )
     task = F.shiftright(F.col(place), _PARTITION_SHIFT)
-    sizes = placed.groupBy(task.alias("__task")).agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "__task", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
-    )
-    # One row per sort task: its size is bounded by the number of shuffle partitions.
+    sizes = {r[0]: r[1] for r in placed.groupBy(task).count().collect()}
+    counts = [sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)]
+    starts = list(accumulate([start, *counts[:-1]]))
+    first = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts]), (task + 1).cast("int"))
     within = F.col(place) - F.shiftleft(task, _PARTITION_SHIFT)
-    return (
-        placed.withColumn("__task", task)
-        .join(F.broadcast(starts), "__task")
-        .withColumn(name, (F.col("__start") + within + F.lit(start)).cast("bigint"))
-        .drop(place, "__task", "__start")
-    )
+    return placed.withColumn(name, first + within).drop(place)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import links as L
 from ..functions import text as X
 from ..functions.fixed_values import RESERVED_PAGE_ID
+from .frames import compute_once
 
 _HREF = r'href="([^"]*)"'
 _BLOCK = r"(?s)<p[^>]*>(.*?)</p>"
@@ -23,9 +24,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def link_ids(pages: DataFrame) -> DataFrame:
     """page_id, id: distinct ids picked from the links of each page, the reserved one left out."""
+    links = page_links(pages).select("page_id", "link")
     return (
-        page_links(pages)
-        .select("page_id", L.page_id("link").alias("id"))
+        compute_once(links, "id", L.page_id("link"))
+        .select("page_id", "id")
         .filter(F.col("id").isNotNull() & (F.col("id") != RESERVED_PAGE_ID))
         .distinct()
     )

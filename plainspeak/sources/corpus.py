@@ -20,7 +20,8 @@ LABELLED = T.StructType(
 
 def read_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with header, doubled quotes inside quotes and line breaks inside quotes.
-    ``label_id`` comes out as int, NULL where it is not a class."""
+    ``label_id`` comes out as int, NULL where it is not a class. With ``multi_line`` a
+    file is read by one task, so a large corpus should come in many files."""
     raw = (
         spark.read.schema(LABELLED)
         .option("header", True)

@@ -4,12 +4,16 @@ For every micro-batch the board writes the scored rows and four small partial ta
 under the batch id. A panel is a merge of the partial tables, so no refresh reads the
 scored history, and the work of a micro-batch depends on its own rows only. A batch that
 is delivered again overwrites its own files and nothing else.
+
+Every so many batches the partial tables of all batches before are merged into a base, so
+that a panel reads one base and the batches since.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,17 +47,21 @@ class Board:
         spark: SparkSession,
         folder: str,
         score: Callable[[DataFrame], DataFrame] | None = None,
+        merge_every: int = 500,
     ) -> None:
         """``score`` turns a micro-batch into rows of SCORED; None for scored input."""
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.score = score or (lambda batch: batch)
+        self.merge_every = merge_every
 
     def start(self, stream: DataFrame, every: str | None = "20 seconds") -> StreamingQuery:
         return sinks.each_batch(stream, self.deliver, self.folder, every)
 
     def deliver(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch_id and batch_id % self.merge_every == 0:
+            self.merge_before(batch_id)
         day = F.to_date(times.event_time("timestamp"))
         scored = self.score(batch).select(*[F.col(f.name).cast(f.dataType) for f in SCORED])
         path = self._path("scored", batch_id)
@@ -69,7 +77,7 @@ class Board:
         )
         self._write(rows.select("user").distinct(), "users", batch_id)
         self._write(panels.word_counts(rows), "words", batch_id)
-        self._write(_last(rows, RECENT_ROWS), "recent", batch_id)
+        self._write(_last(rows), "recent", batch_id)
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.folder}/{table}/batch={batch_id}"
@@ -81,9 +89,45 @@ class Board:
         """A table over all batches delivered so far."""
         return self.spark.read.schema(_TABLES[name]).parquet(f"{self.folder}/{name}")
 
+    def merge_before(self, batch_id: int) -> None:
+        """Merge the partial tables of all batches before this one into a base. Batches are
+        delivered one after the other, so those are complete. The base counts from the
+        moment it is entered in the log; entering it again changes nothing."""
+        upto = batch_id - 1
+        base = self._base()
+        if base is not None and base >= upto:
+            return
+        for name, merge in _MERGES.items():
+            merge(self.partial(name, upto)).write.mode("overwrite").parquet(self._base_path(name, upto))
+        self.spark.range(upto, upto + 1).select(F.col("id").cast("int").alias("upto")).write.mode(
+            "append"
+        ).parquet(f"{self.folder}/base/log")
+
+    def _base_path(self, name: str, upto: int) -> str:
+        return f"{self.folder}/base/{name}/upto={upto}"
+
+    def _base(self) -> int | None:
+        try:
+            log = self.spark.read.schema("upto int").parquet(f"{self.folder}/base/log")
+        except AnalysisException:  # nothing merged yet
+            return None
+        return log.agg(F.max("upto")).first()[0]
+
+    def partial(self, name: str, upto: int | None = None) -> DataFrame:
+        """A partial table: the base and the batches since, up to ``upto`` if given."""
+        rows = self.table(name)
+        if upto is not None:
+            rows = rows.filter(F.col("batch") <= upto)
+        base = self._base()
+        if base is None:
+            return rows.drop("batch")
+        since = rows.filter(F.col("batch") > base).drop("batch")
+        merged = self.spark.read.schema(since.schema).parquet(self._base_path(name, base))
+        return merged.unionByName(since)
+
     def label_counts(self) -> DataFrame:
         return (
-            self.table("minutes")
+            self.partial("minutes")
             .filter(F.col("prediction").isNotNull())
             .groupBy("prediction")
             .agg(F.sum("n").alias("n"))
@@ -93,7 +137,7 @@ class Board:
     def counters(self) -> DataFrame:
         """One row: count_clean, count_offensive, count_hate, count_user."""
         n = F.col("n")
-        counts = self.table("minutes").agg(
+        counts = self.partial("minutes").agg(
             *[
                 F.coalesce(F.sum(F.when(F.col("prediction") == c, n)), F.lit(0)).alias(
                     f"count_{name.lower()}"
@@ -101,7 +145,7 @@ class Board:
                 for c, name in LABEL_NAMES.items()
             ]
         )
-        users = panels.distinct_users(self.table("users"))
+        users = panels.distinct_users(self.partial("users"))
         # Both sides are a single aggregate row.
         return counts.withColumn("one", F.lit(1)).join(
             users.withColumn("one", F.lit(1)), "one"
@@ -109,7 +153,7 @@ class Board:
 
     def label_by_minute(self) -> DataFrame:
         return (
-            self.table("minutes")
+            self.partial("minutes")
             .filter(F.col("minute").isNotNull() & F.col("prediction").isNotNull())
             .groupBy("minute")
             .agg(
@@ -124,11 +168,11 @@ class Board:
 
     def recent(self) -> DataFrame:
         """The last ten over all batches are among the last ten of each."""
-        return panels.recent_comments(self.table("recent"))
+        return panels.recent_comments(self.partial("recent"))
 
     def top_words(self, number: int = TOP_WORDS) -> DataFrame:
         return (
-            self.table("words")
+            self.partial("words")
             .groupBy("text")
             .agg(F.sum("size").alias("size"))
             .orderBy(F.desc("size"), "text")
@@ -153,9 +197,17 @@ class Board:
         return out
 
 
-def _last(rows: DataFrame, number: int) -> DataFrame:
+def _last(rows: DataFrame, number: int = RECENT_ROWS) -> DataFrame:
     return (
         rows.filter(F.col("timestamp").isNotNull())
         .orderBy(F.desc("timestamp"), F.desc("user"), F.desc("comment"))
         .limit(number)
     )
+
+
+_MERGES = {
+    "minutes": lambda rows: rows.groupBy("minute", "prediction").agg(F.sum("n").alias("n")),
+    "users": lambda rows: rows.distinct(),
+    "words": lambda rows: rows.groupBy("text").agg(F.sum("size").alias("size")),
+    "recent": _last,
+}

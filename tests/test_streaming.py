@@ -68,10 +68,11 @@ def test_memory_table_and_sql(spark, tmp_path):
     assert spark.sql(f"SELECT * FROM {name}").count() == 4
 
 
-def test_board_over_many_batches(spark, tmp_path):
+@pytest.mark.parametrize("merge_every", [500, 2])
+def test_board_over_many_batches(spark, tmp_path, merge_every):
     inbox = tmp_path / "in"
     add_files(inbox, 0, 30)
-    board = Board(spark, str(tmp_path / "board"), score)
+    board = Board(spark, str(tmp_path / "board"), score, merge_every)
     sinks.finish(board.start(stream_comments(spark, str(inbox), files_per_trigger=7), every=None))
     assert board.table("scored").select("batch").distinct().count() == 5
     whole = spark.createDataFrame(score(read_comments(spark, str(inbox))).collect(), SCORED)
@@ -81,6 +82,7 @@ def test_board_over_many_batches(spark, tmp_path):
     assert same(board.recent(), panels.recent_comments(whole))
     assert same(board.top_words(), panels.top_words(whole))
     assert board.counters().first()["count_user"] == 5
+    assert board._base() == (3 if merge_every == 2 else None)
     shown = {r["panel"]: json.loads(r["records"]) for r in board.snapshot().collect()}
     assert shown["counters"][0]["count_user"] == 5 and sum(r["n"] for r in shown["labels"]) == 30
 
@@ -96,6 +98,17 @@ def test_board_repeated_delivery(spark, tmp_path):
     assert (sorted(board.table("scored").collect(), key=str), board.snapshot().collect()) == before
 
 
+def test_board_merge_again(spark, tmp_path):
+    """A batch repeated after its merge: the base is kept, nothing is counted twice."""
+    add_files(tmp_path / "in", 0, 9)
+    board = Board(spark, str(tmp_path / "board"), score, merge_every=1)
+    batch = read_comments(spark, str(tmp_path / "in"))
+    for i in (0, 1, 1, 2, 2):
+        board.deliver(batch, i)
+    assert sum(r["n"] for r in board.label_counts().collect()) == 27
+    assert board._base() == 1 and board.partial("words").agg(F.sum("size")).first()[0] > 0
+
+
 def test_board_hot_user_and_no_time(spark, tmp_path):
     rows = [(None, "u", "x", 1)] * 5 + [(60.0, None, "x y", 0)]
     board = Board(spark, str(tmp_path / "board"))
