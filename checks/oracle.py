@@ -128,7 +128,7 @@ LABELLED = f"""{LABELS}, labelled AS (
   SELECT doc_id, label_id, CASE WHEN doc_id % 10 < 8 THEN 'Train' WHEN doc_id % 10 = 8 THEN 'Dev'
          ELSE 'Test' END AS "set" FROM class_labels)"""
 
-_PAIRS = """words AS (SELECT doc_id, w FROM (SELECT doc_id, {words} AS w FROM corpus)),
+_PAIRS = """words AS (SELECT doc_id, w FROM (SELECT doc_id, {words} AS w FROM {source})),
 placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
 nexts AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM placed),
 counts AS (SELECT word, count(*) AS n FROM placed GROUP BY word),
@@ -140,7 +140,21 @@ lexicon AS (
     FROM pairs p JOIN counts x ON x.word = a JOIN counts y ON y.word = b WHERE p.n >= 5)
   WHERE score > 10)"""
 
-PHRASES = f"{CORPUS}, {_PAIRS.format(words=_words('text_clean'))}"
+PHRASES = f"{CORPUS}, {_PAIRS.format(words=_words('text_clean'), source='corpus')}"
+NORMAL_PHRASES = f"{STOP}, {NORMAL}, {_PAIRS.format(words=_words('norm'), source='normal')}"
+
+_JOINED = """linked AS (
+  SELECT x.doc_id, x.pos, x.word, x.nxt, l.a IS NOT NULL AS linked
+  FROM nexts x LEFT JOIN lexicon l ON l.a = x.word AND l.b = x.nxt),
+runs AS (
+  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, linked ORDER BY pos) AS run FROM linked),
+numbered AS (
+  SELECT *, linked AND row_number() OVER (PARTITION BY doc_id, linked, run ORDER BY pos) % 2 = 1 AS joined
+  FROM runs),
+pieces AS (
+  SELECT doc_id, pos, CASE WHEN joined THEN word || '_' || nxt ELSE word END AS piece,
+    coalesce(lag(joined) OVER (PARTITION BY doc_id ORDER BY pos), false) AS taken FROM numbered),
+texts AS (SELECT doc_id, string_agg(piece, ' ' ORDER BY pos) AS joined_text FROM pieces WHERE NOT taken GROUP BY doc_id)"""
 
 _LINKS = r"""linked AS (
   SELECT page_id, CASE WHEN starts_with(href, '/') AND NOT starts_with(href, '//')
@@ -267,19 +281,11 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
 SELECT doc_id, term, tf, {_r6('tf * ln(((SELECT count(*) FROM corpus) + 1)::DOUBLE / (df + 1))')} AS tfidf
 FROM tf JOIN df USING (term)""",
     "phrase_lexicon": f"WITH {PHRASES} SELECT a, b, n, {_r6('score')} AS score FROM lexicon",
-    "phrase_join": f"""WITH {PHRASES}, linked AS (
-  SELECT x.doc_id, x.pos, x.word, x.nxt, l.a IS NOT NULL AS linked
-  FROM nexts x LEFT JOIN lexicon l ON l.a = x.word AND l.b = x.nxt),
-runs AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, linked ORDER BY pos) AS run FROM linked),
-numbered AS (
-  SELECT *, linked AND row_number() OVER (PARTITION BY doc_id, linked, run ORDER BY pos) % 2 = 1 AS joined
-  FROM runs),
-pieces AS (
-  SELECT doc_id, pos, CASE WHEN joined THEN word || '_' || nxt ELSE word END AS piece,
-    coalesce(lag(joined) OVER (PARTITION BY doc_id ORDER BY pos), false) AS taken FROM numbered),
-texts AS (SELECT doc_id, string_agg(piece, ' ' ORDER BY pos) AS text_clean FROM pieces WHERE NOT taken GROUP BY doc_id)
-SELECT c.doc_id, coalesce(t.text_clean, '') AS text_clean FROM corpus c LEFT JOIN texts t USING (doc_id)""",
+    "phrase_join": f"""WITH {PHRASES}, {_JOINED}
+SELECT c.doc_id, coalesce(t.joined_text, '') AS text_clean FROM corpus c LEFT JOIN texts t USING (doc_id)""",
+    "preprocess_phrases": f"""WITH {NORMAL_PHRASES}, {_JOINED}, whole AS (
+  SELECT c.doc_id, coalesce(t.joined_text, '') AS joined FROM normal c LEFT JOIN texts t USING (doc_id))
+SELECT doc_id, lower({_emoji(_without_stop('joined'))}) AS text_clean FROM whole, stop_row""",
     "argmax_label": f"SELECT doc_id, CAST({_BEST} AS INTEGER) AS prediction FROM (SELECT doc_id, {_SCORES} FROM documents)",
     "scored_comments": f'WITH {SCORED} SELECT "timestamp", "user", comment, prediction FROM scored',
     "label_counts": f"WITH {SCORED} SELECT {_name('prediction')} AS label, count(*) AS n FROM scored GROUP BY prediction",

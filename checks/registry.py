@@ -244,6 +244,18 @@ def phrase_join(spark, folder):
     return phrases.join_phrases(docs, lexicon, "doc_id", "text_clean")
 
 
+@query
+def preprocess_phrases(spark, folder):
+    """The whole chain: normalise, join compound words, stop words, emoji, lower case."""
+    docs = t.documents(spark, folder).select("doc_id", "text")
+    normal = stored(cleaning.normalise_comments(docs, "text").drop("text"), "normal")
+    lexicon = stored(phrases.fit_phrases(t.spread(normal, "doc_id"), "comment_norm"), "lexicon")
+    cleaned = cleaning.clean_with_phrases(
+        docs, lexicon, "doc_id", t.stop_list(spark, folder), "text"
+    )
+    return cleaned.select("doc_id", F.col("comment_clean").alias("text_clean"))
+
+
 # --- scores and panels ---------------------------------------------------------------
 
 

@@ -59,7 +59,8 @@ def look_up(
 ) -> DataFrame:
     """Left-join ``values`` of ``words`` (one row a word) to ``tokens``.
 
-    Tokens that are NULL or not in the table get NULL values and are kept.
+    Tokens that are NULL or not in the table get NULL values and are kept. ``words`` is
+    read to measure it, so it should be a stored table.
     ``salt_from`` names the token columns the salt is made of; by default all of them.
     """
     salts = SALTS if salts is None else salts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, times
 from ..functions import text as X
-from ..functions.fixed_values import LABEL_NAMES, RECENT_ROWS, TOP_WORDS
+from ..functions.fixed_values import LABEL_NAMES, MINUTE_FORMAT, RECENT_ROWS, TOP_WORDS
 
 
 def label_counts(scored: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def label_by_minute(scored: DataFrame) -> DataFrame:
         scored.filter(F.col("prediction").isNotNull() & F.col("timestamp").isNotNull())
         .groupBy(minute.alias("minute"))
         .agg(*counts)
-        .withColumn("date_time", F.date_format("minute", "HH:mm dd-MM-yyyy"))
+        .withColumn("date_time", F.date_format("minute", MINUTE_FORMAT))
         .orderBy("minute")
     )
 

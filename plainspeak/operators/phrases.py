@@ -33,7 +33,8 @@ def fit_phrases(
     docs: DataFrame, text: str, min_count: int = 5, threshold: float = 10.0, discount: int = 5
 ) -> DataFrame:
     """a, b, n, score. Counting combines in the map tasks; rare pairs are dropped before
-    the word counts are looked up, and those look-ups are safe for frequent words."""
+    the word counts are looked up, and those look-ups are safe for frequent words.
+    ``docs`` is read twice (pairs, words), so costly cleaning is best stored before."""
     pairs = (
         adjacent_pairs(docs, text)
         .groupBy("a", "b")

@@ -31,7 +31,7 @@ def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, tfidf. ``key`` is unique.
 
     Texts are shuffled whole, before they are taken apart; terms are then counted within
-    the document's task.
+    the document's task. ``docs`` is read twice (terms, number of documents).
     """
     counts = stored(
         docs.select(key, text)

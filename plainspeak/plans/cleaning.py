@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.frames import compute_once
+from ..operators.phrases import join_phrases
 
 
 def normalise_comments(
@@ -40,6 +41,30 @@ def clean_comments(
     )
 
 
+def clean_with_phrases(
+    comments: DataFrame,
+    lexicon: DataFrame,
+    key: str,
+    stop_words: Iterable[str] = (),
+    text: str = "comment",
+    strict_unicode: bool = False,
+    email_first: bool = False,
+    extended_emoji: bool = False,
+) -> DataFrame:
+    """``clean_comments`` with compound words joined (``operators.phrases``) before stop
+    words and emoji are removed. ``key`` is unique."""
+    normal = normalise_comments(comments, text, strict_unicode, email_first)
+    joined = join_phrases(normal, lexicon, key, "comment_norm").withColumnRenamed(
+        "comment_norm", "comment_joined"
+    )
+    cleaned = X.preprocess("comment_joined", stop_words, extended_emoji=extended_emoji)
+    return (
+        compute_once(normal.join(joined, key), "comment_clean", cleaned)
+        .drop("comment_joined")
+        .withColumn("is_blank_clean", F.col("comment_clean") == "")
+    )
+
+
 def clean_corpus(
     corpus: DataFrame,
     stop_words: Iterable[str] = (),
