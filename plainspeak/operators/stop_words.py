@@ -32,11 +32,16 @@ def remove_stop_words(
 def remove_stop_words_by_join(
     docs: DataFrame, stop_words: DataFrame, key: str, text: str
 ) -> DataFrame:
-    words = docs.select(key, F.posexplode_outer(X.words(text)).alias("pos", "word"))
+    words = docs.select(
+        key, F.col(text).isNull().alias("none"), F.posexplode_outer(X.words(text)).alias("pos", "word")
+    )
     listed = stop_words.select("word").distinct().withColumns({"n": F.lit(1), "stop": F.lit(True)})
     kept = look_up(words, listed, ["stop"], salt_from=[key, "pos"]).select(
-        key, F.when(F.col("stop").isNull() & F.col("word").isNotNull(), F.struct("pos", "word")).alias("kept")
+        key,
+        "none",
+        F.when(F.col("stop").isNull() & F.col("word").isNotNull(), F.struct("pos", "word")).alias("kept"),
     )
-    lists = kept.groupBy(key).agg(F.collect_list("kept").alias("kept"))
+    lists = kept.groupBy(key, "none").agg(F.collect_list("kept").alias("kept"))
     ordered = F.transform(F.array_sort("kept"), lambda p: p["word"])
-    return lists.select(key, F.array_join(ordered, " ").alias(text))
+    joined = F.when(~F.col("none"), F.array_join(ordered, " "))
+    return lists.select(key, joined.alias(text))
