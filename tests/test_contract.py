@@ -6,11 +6,13 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare, database
+from checks.oracle import ORACLE
+from checks.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
-MODELS = [n for n in contract.queries() if n.startswith("model_")]
+MODELS = [n for n in QUERIES if n.startswith("model_")]
 
 
 @pytest.fixture(scope="module")
@@ -20,20 +22,20 @@ def connection():
 
 def test_every_sql_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"stream_users", *MODELS} - {"model_nb"}
+    assert set(QUERIES) - set(ORACLE) == {"stream_users", *MODELS} - {"model_nb"}
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if n not in MODELS or n == "model_nb"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in MODELS or n == "model_nb"])
 def test_query(spark, connection, name):
     ok, message, _ = compare(
-        spark, connection, name, contract.queries()[name], contract.oracle_sql().get(name), FOLDER
+        spark, connection, name, QUERIES[name], ORACLE.get(name), FOLDER
     )
     assert ok, message
 
 
 @pytest.mark.parametrize("name", MODELS)
 def test_model(spark, name):
-    rows = contract.queries()[name](spark, FOLDER).collect()
+    rows = QUERIES[name](spark, FOLDER).collect()
     assert rows and {r["prediction"] for r in rows} <= {0, 1, 2}
 
 
@@ -41,8 +43,8 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in contract.oracle_sql() if not n.startswith(("stream_", "model_"))])
+@pytest.mark.parametrize("name", [n for n in ORACLE if not n.startswith(("stream_", "model_"))])
 def test_plan_has_no_python_and_no_cross_join(spark, name):
-    plan = contract.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     for word in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert word not in plan
