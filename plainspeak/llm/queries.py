@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, simhash
+from . import exact, packing, secrets, simhash
 from .common import table
 
 QUERIES = {}
@@ -29,6 +29,71 @@ def op2_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op4_packing(spark, folder):
+    """The place of every piece of every document."""
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def _of_rule(k: int):
+    return lambda span: span["k"] == k
+
+
+@query
+def op8_secrets(spark, folder):
+    """Secrets of every document: counts and digest of the base kinds, all spans."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    all_of = F.col("found")
+    base = F.filter(all_of, lambda s: s["k"] < len(secrets.BASE))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(F.filter(all_of, _of_rule(k))).cast("long").alias(f"n_{r.kind}")
+            for k, r in enumerate(secrets.BASE)
+        ],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(all_of).alias("spans"),
+    )
+
+
+def _spans_sql() -> str:
+    """Each rule by splitting the text at its matches: a match starts after all gaps and matches before it."""
+    rules = []
+    for k, rule in enumerate(secrets.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        pattern = pattern.replace("(?i)(", "(?i:(").replace(")(?-i)", "))")
+        rules.append(
+            f"""
+  SELECT doc_id, {k} AS k, '{rule.kind}' AS kind,
+         list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT
+           + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS place,
+         length(hits[i]) AS size
+  FROM (
+    SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
+           regexp_extract_all(t, '{pattern}', {rule.group}) AS parts,
+           unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i
+    FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+  ) WHERE length(parts[i]) >= {rule.least}"""
+        )
+    return "\n  UNION ALL".join(rules)
+
+
+ORACLE["op8_secrets"] = f"""
+WITH found AS ({_spans_sql()}
+),
+written AS (
+  SELECT doc_id,
+         count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
+         string_agg(kind || ':' || place || ':' || (place + size), ',' ORDER BY place, k) FILTER (WHERE k < {len(secrets.BASE)}) AS base,
+         string_agg(kind || ':' || place || ':' || (place + size), ',' ORDER BY place, k) AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN written USING (doc_id)
+"""
+
+
 @query
 def op10_exact_dedup(spark, folder):
     """The row that stays for every document."""
