@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, secrets, simhash
+from . import exact, html, packing, pii, quality, secrets, simhash
 from .common import table
 
 QUERIES = {}
@@ -23,18 +23,37 @@ def query(function):
     return run
 
 
+@query
+def op1_quality(spark, folder):
+    """A quality score for every document, learned from labels that aren't held out."""
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 @query
 def op2_simhash(spark, folder):
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op3_pii(spark, folder):
+    """Personal data of every document: counts and digest of plain identifiers, all spans."""
+    return pii.find_personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op4_packing(spark, folder):
     """The place of every piece of every document."""
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query
+def op5_html(spark, folder):
+    """Main text of every page."""
+    return html.extract(table(spark, folder, "pages"))
+
+
 def _of_rule(k: int):
     return lambda span: span["k"] == k
 
