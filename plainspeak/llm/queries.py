@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, html, packing, pii, quality, secrets, simhash
+from . import exact, neighbours, packing, page_text, pii, quality, secret_scan, simhash
 from .common import table
 
 QUERIES = {}
@@ -51,7 +51,13 @@ def op4_packing(spark, folder):
 @query
 def op5_html(spark, folder):
     """Main text of every page."""
-    return html.extract(table(spark, folder, "pages"))
+    return page_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op6_neighbours(spark, folder):
+    """The ten nearest vectors of every row whose id is divisible by 100."""
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def _of_rule(k: int):
@@ -61,24 +67,24 @@ def _of_rule(k: int):
 @query
 def op8_secrets(spark, folder):
     """Secrets of every document: counts and digest of the base kinds, all spans."""
-    found = secrets.find_secrets(table(spark, folder, "documents"))
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
     all_of = F.col("found")
-    base = F.filter(all_of, lambda s: s["k"] < len(secrets.BASE))
+    base = F.filter(all_of, lambda s: s["k"] < len(secret_scan.BASE))
     return found.select(
         "doc_id",
         *[
             F.size(F.filter(all_of, _of_rule(k))).cast("long").alias(f"n_{r.kind}")
-            for k, r in enumerate(secrets.BASE)
+            for k, r in enumerate(secret_scan.BASE)
         ],
-        F.sha2(secrets.written(base), 256).alias("base_sha256"),
-        secrets.written(all_of).alias("spans"),
+        F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+        secret_scan.written(all_of).alias("spans"),
     )
 
 
 def _spans_sql() -> str:
     """Each rule by splitting the text at its matches: a match starts after all gaps and matches before it."""
     rules = []
-    for k, rule in enumerate(secrets.RULES):
+    for k, rule in enumerate(secret_scan.RULES):
         pattern = rule.pattern.replace("'", "''")
         pattern = pattern.replace("(?i)(", "(?i:(").replace(")(?-i)", "))")
         rules.append(
@@ -103,7 +109,7 @@ WITH found AS ({_spans_sql()}
 written AS (
   SELECT doc_id,
          count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2,
-         string_agg(kind || ':' || place || ':' || (place + size), ',' ORDER BY place, k) FILTER (WHERE k < {len(secrets.BASE)}) AS base,
+         string_agg(kind || ':' || place || ':' || (place + size), ',' ORDER BY place, k) FILTER (WHERE k < {len(secret_scan.BASE)}) AS base,
          string_agg(kind || ':' || place || ':' || (place + size), ',' ORDER BY place, k) AS spans
   FROM found GROUP BY doc_id
 )
