@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, neighbours, packing, page_text, pii, quality, secret_scan, simhash
+from . import exact, language, mixing, neighbours, packing, page_text, pii, quality, secret_scan, simhash
 from .common import table
 
 QUERIES = {}
 ORACLE = {}
 
+#: Target mix of the given sources. What isn't listed weighs 1 beside its siblings.
+MIX_WEIGHTS = {
+    ("crawl",): 0.4,
+    ("books",): 0.3,
+    ("reference",): 0.2,
+    ("forum",): 0.1,
+    ("crawl", "en"): 4.0,
+    ("crawl", "de"): 2.0,
+    ("books", "en"): 2.0,
+}
+#: Share of all tokens that the mix takes.
+MIX_SHARE = 0.8
+
+
+def domain_of(source: str) -> Column:
+    """The domain of a source: src0 is the crawl, the others go by their number."""
+    number = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), r"^src([0-9]{1,9})$", 1)
+    n = F.when(number != "", number.cast("long"))
+    return (
+        F.when(n == 0, "crawl").when(n % 3 == 0, "books").when(n % 3 == 1, "reference").otherwise("forum")
+    )
+
 
 def query(function):
     def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +82,19 @@ def op6_neighbours(spark, folder):
     return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query
+def op7_mixing(spark, folder):
+    """Documents by epoch, mixed to target weights; small sources are seen twice at most."""
+    return mixing.mix(table(spark, folder, "documents"), domain_of("source"), MIX_WEIGHTS, MIX_SHARE, max_epochs=2)
+
+
+@query
+def op9_language(spark, folder):
+    """Language of every page, the text model learned from documents."""
+    languages, model = language.fit(table(spark, folder, "documents"))
+    return language.identify(table(spark, folder, "pages"), languages, model)
+
+
 def _of_rule(k: int):
     return lambda span: span["k"] == k
 
