@@ -81,17 +81,21 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their text, all their columns kept.
+    """One row of ``docs`` for each text, all columns kept: the one with the text's smallest id.
 
-    Of rows that repeat an id one stays. Rows without an id can't be named as the winner of a group:
-    they stay, unless ``docs`` holds their text under an id as well.
+    Of rows that repeat id and text one stays; rows that share an id only are judged by their texts. A
+    text that occurs without an id only stays with one such row.
     """
-    found = exact_duplicates(docs, id_col, text_col)
-    kept = found.filter(F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
-    unnamed = docs.filter(F.col(id_col).isNull())
-    if unnamed.isEmpty():
-        return named
-    lone = found.filter(F.col("kept") & F.col(id_col).isNull()).select(F.col("digest").alias("__digest"))
-    mine = sha256(normalised(text_col))
-    return named.unionByName(unnamed.join(lone, mine == F.col("__digest"), "left_semi"))
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept")
+    kept = kept.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct()
+    marked = docs.withColumn("__mine", sha256(normalised(text_col)))
+    named = marked.join(
+        kept, (F.col(id_col) == F.col("__id")) & (F.col("__mine") == F.col("__digest")), "left_semi"
+    ).dropDuplicates([id_col, "__mine"])
+    unnamed = marked.filter(F.col(id_col).isNull())
+    if not unnamed.isEmpty():
+        lone = kept.filter("__id IS NULL")
+        named = named.unionByName(
+            unnamed.join(lone, F.col("__mine") == F.col("__digest"), "left_semi").dropDuplicates(["__mine"])
+        )
+    return named.select(docs.columns)
