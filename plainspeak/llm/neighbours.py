@@ -317,9 +317,10 @@ def search(
     dimension, spread = commonest["size"], math.sqrt(commonest["square"] / commonest["size"])
     same = Window.partitionBy("vector").orderBy("id")  # limited in the map tasks already
     given = given.filter(F.size("vector") == dimension)
-    indexed = given.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k + 1)
+    indexed = given.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k + 1).drop("copy")
+    indexed = keep(indexed, "neighbours-indexed")
     # A query beyond the k + 1 smallest ids of its vector is no candidate, but stays a query.
-    spare = given.filter("query").withColumn("copy", F.row_number().over(same)).filter(F.col("copy") > k + 1)
+    spare = given.filter("query").join(indexed.filter("query").drop("query"), ["id", "vector"], "left_anti")
     usable_rows = keep(
         indexed.select("id", "vector", F.lit(True).alias("candidate"), "query").unionByName(
             spare.select("id", "vector", F.lit(False).alias("candidate"), "query")

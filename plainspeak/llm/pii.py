@@ -247,21 +247,17 @@ def transduced(text: str) -> Tape | None:
 
 
 def disguised(text: str, known: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Source (start, end) of identifiers that show after rewriting and don't overlap a known one of their kind."""
+    """Source (start, end) of identifiers that show after rewriting and aren't part of a known one of their kind."""
     tape = transduced(text)
     if tape is None:
         return [[] for _ in KINDS]
     found = []
     for spans, old in zip(plain(tape.text), known):
         mine = [(int(tape.start[a]), int(tape.end[b - 1])) for a, b in spans]
-        found.append([(a, b) for a, b in mine if not _overlaps(a, b, old)])
+        found.append([(a, b) for a, b in mine if not any(x <= a and b <= y for x, y in old)])
     return found
 
 
-def _overlaps(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
-    return any(x < b and a < y for x, y in spans)
-
-
 # --- the operator -------------------------------------------------------------------
 
 
