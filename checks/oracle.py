@@ -259,7 +259,8 @@ SELECT d.doc_id, coalesce(k.text, '') AS text FROM documents d LEFT JOIN kept k
 SELECT v.idx, v.word, array_to_string(list_transform(
   coalesce(x.vec, list_transform(range({VECTOR_SIZE}), lambda i: 0::FLOAT)),
   lambda f: CAST(round(f::DOUBLE * 1000000) AS BIGINT)), ',') AS vec
-FROM vocabulary v LEFT JOIN vectors x ON v.word = x.word AND v.idx < 10000""",
+FROM vocabulary v LEFT JOIN vectors x ON v.word = x.word AND v.idx < 10000
+UNION ALL SELECT 0, NULL, array_to_string(list_transform(range({VECTOR_SIZE}), lambda i: 0), ',')""",
     "pooled_vectors": f"""WITH {VOCABULARY}, {VECTORS}, counted AS (
   SELECT t.doc_id, CASE WHEN v.idx < 10000 THEN v.word END AS word, count(*) AS times
   FROM tokens t JOIN vocabulary v USING (word) GROUP BY ALL),

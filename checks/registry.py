@@ -191,7 +191,7 @@ def one_hot_label(spark, folder):
 @query
 def embedding_matrix_rows(spark, folder):
     words = fit_vocabulary(t.corpus(spark, folder), "doc_id", "text_clean")
-    matrix = embedding_matrix(words, t.word_vectors(spark, folder), t.VECTOR_SIZE)
+    matrix = embedding_matrix(words, t.word_vectors(spark, folder), t.VECTOR_SIZE, padding=True)
     millionths = F.transform(
         "vec", lambda v: F.round(v.cast("double") * 1000000).cast("bigint")
     )

@@ -6,9 +6,10 @@ the word table is large. So the size of the word table is measured first:
 
 * a table of at most ``BROADCAST_BYTES`` is broadcast;
 * of a larger one the frequent words, by counting at most ``FREQUENT_LIMIT`` short words,
-  are broadcast. Only tokens not found there take part in a shuffle join, salted on both
-  sides, so that a word that is frequent among the tokens but not in the table is spread
-  over tasks too. (Spark's adaptive skew join splits what is still uneven.)
+  are broadcast. Tokens found there, and NULL ones, are done. Only the others take part in a
+  shuffle join, salted on both sides, so that a word that is frequent among the tokens but
+  not in the table is spread over tasks too. (Spark's adaptive skew join splits what is
+  still uneven.) Tokens are read once for each of the two parts; nothing else is shuffled.
 """
 
 from __future__ import annotations
@@ -20,29 +21,36 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_BYTES = 24  # beside the word itself
 FREQUENT_LIMIT = 100_000
 FREQUENT_LENGTH = 64
-SALTS = 8
+LEAST_SALTS, MOST_SALTS = 8, 64  # by the number of shuffle partitions
 
 
 def split_by_frequency(
     words: DataFrame, word: str = "word", count: str = "n", budget: int | None = None,
-    limit: int | None = None,
+    limit: int | None = None, values: tuple[str, ...] = (),
 ) -> tuple[DataFrame, DataFrame | None]:
     """Split a table of distinct words into a part to broadcast and the rest.
 
     A word is frequent if it holds at least ``1/limit`` of all counts, so there are at
     most ``limit`` frequent words, whatever the distribution. The rest is None when the
-    whole table is small enough.
+    whole table, its ``values`` included, is small enough. Words without a count are rare.
     """
     budget = BROADCAST_BYTES if budget is None else budget
     limit = FREQUENT_LIMIT if limit is None else limit
     size, total = words.agg(
-        F.sum(F.octet_length(word) + F.lit(ROW_BYTES)), F.sum(count)
+        F.sum(
+            sum(
+                [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in (word, *values)],
+                F.lit(ROW_BYTES),
+            )
+        ),
+        F.sum(count),
     ).first()
     if (size or 0) <= budget:
         return words, None
     short = F.octet_length(word) <= FREQUENT_LENGTH
-    often = F.col(count).cast("double") * F.lit(float(limit)) >= F.lit(float(total))
-    return words.filter(short & often), words.filter(~(short & often))
+    often = F.col(count).cast("double") * F.lit(float(limit)) >= F.lit(float(total or 0))
+    frequent = F.coalesce(short & often & F.lit(bool(total)), F.lit(False))
+    return words.filter(frequent), words.filter(~frequent)
 
 
 def look_up(
@@ -63,27 +71,23 @@ def look_up(
     read to measure it, so it should be a stored table.
     ``salt_from`` names the token columns the salt is made of; by default all of them.
     """
-    salts = SALTS if salts is None else salts
-    frequent, rare = split_by_frequency(words, word, count, budget, limit)
+    if salts is None:
+        partitions = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salts = min(MOST_SALTS, max(LEAST_SALTS, partitions // 16))
+    frequent, rare = split_by_frequency(words, word, count, budget, limit, tuple(values))
     first = frequent.select(
         F.col(word).alias("__key"), *[F.col(v).alias(f"__f_{v}") for v in values]
     )
     found = tokens.join(
         F.broadcast(first), F.col(key) == F.col("__key"), "left"
     )
+    out = [*tokens.columns, *[F.col(f"__f_{v}").alias(v) for v in values]]
     if rare is None:
-        return found.select(*tokens.columns, *[F.col(f"__f_{v}").alias(v) for v in values])
+        return found.select(*out)
 
-    spread = F.xxhash64(*(salt_from or tokens.columns))
     missing = F.col("__key").isNull() & F.col(key).isNotNull()
-    # Rows that need no second look-up carry a NULL key; their salt is a full hash, which
-    # spreads them evenly over the tasks of the join.
-    left = found.withColumns(
-        {
-            "__rare_key": F.when(missing, F.col(key)),
-            "__salt": F.when(missing, F.pmod(spread, F.lit(salts))).otherwise(spread),
-        }
-    )
+    spread = F.xxhash64(*(salt_from or tokens.columns))
+    left = found.filter(missing).withColumn("__salt", F.pmod(spread, F.lit(salts)))
     second = rare.select(
         F.col(word).alias("__rare_word"),
         *[F.col(v).alias(f"__r_{v}") for v in values],
@@ -92,10 +96,9 @@ def look_up(
     # The rest is larger than what may be broadcast, whatever its estimate says.
     joined = left.join(
         second.hint("merge"),
-        (F.col("__rare_key") == F.col("__rare_word")) & (F.col("__salt") == F.col("__rare_salt")),
+        (F.col(key) == F.col("__rare_word")) & (F.col("__salt") == F.col("__rare_salt")),
         "left",
     )
-    return joined.select(
-        *tokens.columns,
-        *[F.coalesce(F.col(f"__f_{v}"), F.col(f"__r_{v}")).alias(v) for v in values],
+    return found.filter(~missing).select(*out).unionByName(
+        joined.select(*tokens.columns, *[F.col(f"__r_{v}").alias(v) for v in values])
     )

@@ -13,20 +13,32 @@ CLASSES = (0, 1, 2)
 def confusion_matrix(
     pairs: DataFrame, label: str = "label_id", prediction: str = "prediction"
 ) -> DataFrame:
-    """A row for every class (true), a count for every class (predicted)."""
-    codes = pairs.sparkSession.range(len(CLASSES)).select(F.col("id").cast("int").alias(label))
+    """A row for every class (true), a count for every class (predicted). Classes are 0, 1, 2 and
+    whatever else occurs as label or as prediction. Rows without a label or a prediction aren't counted."""
     counts = (
-        pairs.filter(F.col(label).isin(*CLASSES))
-        .groupBy(F.col(label).cast("int").alias(label))
-        .agg(*[F.count_if(F.col(prediction) == c).alias(f"predicted_{c}") for c in CLASSES])
+        pairs.select(F.col(label).cast("int").alias(label), F.col(prediction).cast("int").alias("said"))
+        .filter(F.col(label).isNotNull() & F.col("said").isNotNull())
+        .groupBy(label, "said")
+        .agg(F.count("*").alias("n"))
     )
-    filled = {f"predicted_{c}": 0 for c in CLASSES}
-    return codes.join(counts, label, "left").fillna(filled).orderBy(label)
+    seen = counts.select(F.explode(F.array(label, "said")).alias("c")).distinct().collect()  # the classes
+    classes = sorted({*CLASSES, *[r["c"] for r in seen]})
+    codes = pairs.sparkSession.createDataFrame([(c,) for c in classes], f"{label} int")
+    said = [
+        F.coalesce(F.sum(F.when(F.col("said") == c, F.col("n"))), F.lit(0)).alias(f"predicted_{c}".replace("-", "minus_"))
+        for c in classes
+    ]
+    return codes.join(counts, label, "left").groupBy(label).agg(*said).orderBy(label)
+
+
+def _hit(right: Column, label: str) -> Column:
+    """1 or 0 where there is a label: a missing prediction is a miss."""
+    return F.when(F.col(label).isNotNull(), F.coalesce(right, F.lit(False)).cast("int"))
 
 
 def accuracy(pairs: DataFrame, label: str = "label_id", prediction: str = "prediction") -> DataFrame:
-    hit = (F.col(label) == F.col(prediction)).cast("int")
-    return pairs.agg((F.sum(hit) / F.count(hit)).alias("accuracy"))
+    """Hits over all rows with a label."""
+    return pairs.agg(F.avg(_hit(F.col(label) == F.col(prediction), label)).alias("accuracy"))
 
 
 def _tallies(label: str, prediction: str) -> list[Column]:
@@ -64,14 +76,14 @@ def f1_macro(pairs: DataFrame, label: str = "label_id", prediction: str = "predi
 def log_loss(
     pairs: DataFrame, label: str = "label_id", scores: str = "scores", epsilon: float = 1e-7
 ) -> DataFrame:
-    """Mean cross-entropy of the label's score, and accuracy of the arg-max, over all rows."""
+    """Mean cross-entropy of the label's score, and accuracy of the arg-max, over all rows with a label.
+    Rows without a score for their label count as ``epsilon`` and as a miss."""
     from ..functions.labels import argmax
 
     own = F.get(F.col(scores), F.col(label).cast("int")).cast("double")
-    hit = (argmax(scores) == F.col(label)).cast("int")
+    loss = F.when(F.col(label).isNotNull(), -F.ln(F.greatest(own, F.lit(epsilon))))
     return pairs.agg(
-        F.avg(-F.ln(F.greatest(own, F.lit(epsilon)))).alias("loss"),
-        (F.sum(hit) / F.count(hit)).alias("accuracy"),
+        F.avg(loss).alias("loss"), F.avg(_hit(argmax(scores) == F.col(label), label)).alias("accuracy")
     )
 
 

@@ -26,7 +26,7 @@ def label_counts(scored: DataFrame) -> DataFrame:
 
 
 def label_counters(scored: DataFrame) -> DataFrame:
-    """One row: count_clean, count_offensive, count_hate, count_user."""
+    """One row: count_clean, count_offensive, count_hate. Users: ``distinct_users``."""
     return scored.agg(
         *[
             F.count_if(F.col("prediction") == code).alias(f"count_{name.lower()}")

@@ -12,6 +12,8 @@ from ..functions.fixed_values import SEQUENCE_LENGTH, VECTOR_VOCABULARY_LIMIT
 from .lookup import look_up
 from .numbering import number_rows
 
+#: Vectors of so many words may be broadcast (64 dimensions: about 30 MB).
+BROADCAST_WORDS = 100_000
 _POSITION_RANGE = 4294967296  # more than an array can hold
 
 
@@ -104,20 +106,36 @@ def embedding_matrix(
     vocabulary: DataFrame,
     vectors: DataFrame,
     dimension: int,
-    limit: int = VECTOR_VOCABULARY_LIMIT,
+    limit: int | None = VECTOR_VOCABULARY_LIMIT,
+    padding: bool = False,
 ) -> DataFrame:
     """One vector a vocabulary word: from ``vectors`` (word, vec) where it has the word and
-    the word's number is below ``limit``, zeros otherwise. Columns: idx, word, vec.
+    the word's number is below ``limit`` (None: whatever its number), zeros otherwise. Of a
+    word with several vectors the largest counts, compared element by element. Columns: idx,
+    word, vec. ``padding`` adds number 0 without a word, all zeros: what fills short sequences.
 
-    Fewer than ``limit`` words are searched, so they are broadcast to the (large) vector
-    table, and the vectors found, again fewer than ``limit``, to the vocabulary.
+    Up to BROADCAST_WORDS words are broadcast to the (large) vector table, and the vectors found
+    to the vocabulary; more are joined by shuffle.
     """
-    wanted = vocabulary.filter(F.col("idx") < limit).select("word", "idx")
-    found = vectors.join(F.broadcast(wanted), "word").select("idx", "vec")
+    wanted = vocabulary.select("word", "idx")
+    if limit is not None:
+        wanted = wanted.filter(F.col("idx") < limit)
+    found = vectors.join(_small(wanted, limit), "word").groupBy("idx").agg(F.max("vec").alias("vec"))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dimension)
-    return vocabulary.join(F.broadcast(found), "idx", "left").select(
+    matrix = vocabulary.join(_small(found, limit), "idx", "left").select(
         "idx", "word", F.coalesce("vec", zeros).alias("vec")
     )
+    if padding:
+        zero = vocabulary.sparkSession.range(1).select(
+            F.col("id").alias("idx"), F.lit(None).cast("string").alias("word"), zeros.alias("vec")
+        )
+        matrix = matrix.unionByName(zero)
+    return matrix
+
+
+def _small(rows: DataFrame, limit: int | None) -> DataFrame:
+    """Marked for broadcast if ``limit`` bounds its rows well enough."""
+    return F.broadcast(rows) if limit is not None and limit <= BROADCAST_WORDS else rows
 
 
 def pool_vectors(
@@ -127,7 +145,7 @@ def pool_vectors(
     key: str,
     text: str,
     dimension: int,
-    limit: int = VECTOR_VOCABULARY_LIMIT,
+    limit: int | None = VECTOR_VOCABULARY_LIMIT,
 ) -> DataFrame:
     """Mean and maximum, per dimension, of the vectors of all known words of a text;
     zeros for texts without one. Columns: key, n_words, mean, max.
@@ -135,20 +153,23 @@ def pool_vectors(
     Numbers are gathered per document first; everything after that stays in the
     document's task. Words are counted there, so each distinct word of a document meets
     its vector once. Words numbered ``limit`` or more have zero vectors and share one
-    weighted zero row. The broadcast side has fewer than ``limit`` rows.
+    weighted zero row. The side of the vectors is broadcast up to BROADCAST_WORDS rows; with a larger
+    ``limit``, or None, the join is Spark's choice by size.
     """
     ids = known_ids(docs, vocabulary, key, text)
-    slot = F.when(F.col("idx") < limit, F.col("idx")).otherwise(F.lit(0))
+    slot = F.col("idx") if limit is None else F.when(F.col("idx") < limit, F.col("idx")).otherwise(F.lit(0))
     counted = (
         ids.select(key, F.size("ids").cast("bigint").alias("n_words"), F.explode_outer("ids").alias("idx"))
         .groupBy(key, "n_words", slot.alias("slot"))
         .agg(F.count("*").alias("times"))
     )
-    bounded = matrix.filter(F.col("idx") < limit).select(
+    if limit is not None:
+        matrix = matrix.filter(F.col("idx") < limit)
+    bounded = matrix.select(
         F.col("idx").cast("int").alias("slot"), array_to_vector("vec").alias("v")
     )
     zeros = array_to_vector(F.array_repeat(F.lit(0.0), dimension))
-    weighted = counted.join(F.broadcast(bounded), "slot", "left").select(
+    weighted = counted.join(_small(bounded, limit), "slot", "left").select(
         key, "n_words", "times", F.coalesce("v", zeros).alias("v")
     )
     summary = Summarizer.metrics("mean", "max").summary(F.col("v"), F.col("times").cast("double"))

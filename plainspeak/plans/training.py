@@ -26,17 +26,16 @@ SEED = 17
 TEXT_MODELS = ("logistic_regression", "naive_bayes", "decision_tree", "random_forest")
 VECTOR_MODELS = ("word_vectors",)
 
-# Tree learners hold a bin number for every feature of every row, present or not, so a
-# row costs four bytes a vocabulary word. Linear models keep rows sparse and take Spark's
-# own vocabulary size.
-TREE_VOCABULARY = 2**15
+#: CountVectorizer's own limit on the number of words, for all models alike; a parameter of ``fit``.
+VOCABULARY_SIZE = 262_144
+# Tree learners hold a bin number for every feature of every row, present or not, so a row costs
+# four bytes a vocabulary word. They are fitted on at most so many labelled rows, all words kept.
+TREE_ROWS = 2_000
 TREE_MODELS = ("decision_tree", "random_forest")
 
 
-def feature_stages(text: str = "text_clean", vocabulary_size: int | None = None) -> list:
-    count = CountVectorizer(inputCol="words", outputCol="raw_features")
-    if vocabulary_size:
-        count.setVocabSize(vocabulary_size)
+def feature_stages(text: str = "text_clean", vocabulary_size: int = VOCABULARY_SIZE) -> list:
+    count = CountVectorizer(inputCol="words", outputCol="raw_features", vocabSize=vocabulary_size)
     return [
         Tokenizer(inputCol=text, outputCol="words"),
         count,
@@ -52,7 +51,8 @@ def classifier(name: str, label: str = "label_id", inputs: int | None = None):
     if name == "naive_bayes":
         return NaiveBayes(smoothing=1.0, modelType="multinomial", **common)
     if name == "decision_tree":
-        return DecisionTreeClassifier(seed=SEED, **common)
+        # More memory for the statistics of a pass, so that a pass splits several nodes.
+        return DecisionTreeClassifier(seed=SEED, maxMemoryInMB=1024, **common)
     if name == "random_forest":
         return RandomForestClassifier(seed=SEED, **common)
     if name == "word_vectors":
@@ -63,24 +63,28 @@ def classifier(name: str, label: str = "label_id", inputs: int | None = None):
 
 
 def build_model(
-    name: str, text: str = "text_clean", label: str = "label_id", vocabulary_size: int | None = None,
+    name: str, text: str = "text_clean", label: str = "label_id", vocabulary_size: int = VOCABULARY_SIZE,
     inputs: int | None = None,
 ) -> Pipeline:
     if name in VECTOR_MODELS:
         assemble = VectorAssembler(inputCols=["pooled"], outputCol="features")
         return Pipeline(stages=[assemble, classifier(name, label, inputs)])
-    if vocabulary_size is None and name in TREE_MODELS:
-        vocabulary_size = TREE_VOCABULARY
     return Pipeline(stages=[*feature_stages(text, vocabulary_size), classifier(name, label)])
 
 
 def fit(
     name: str, train: DataFrame, text: str = "text_clean", label: str = "label_id",
-    vocabulary_size: int | None = None,
+    vocabulary_size: int = VOCABULARY_SIZE, rows: int | None = None,
 ) -> PipelineModel:
     """Fit on a cleaned, labelled corpus. The iterative optimisers read it many times, so
-    it is written once and read back."""
-    return build_model(name, text, label, vocabulary_size).fit(stored(train.select(text, label), "train"))
+    it is written once and read back. ``rows``: fit on at most so many rows, those with the smallest
+    hash of their text (default: all; TREE_ROWS for tree models)."""
+    chosen = train.select(text, label)
+    if rows is None and name in TREE_MODELS:
+        rows = TREE_ROWS
+    if rows is not None:
+        chosen = chosen.orderBy(F.xxhash64(text), text, label).limit(rows)
+    return build_model(name, text, label, vocabulary_size).fit(stored(chosen, "train"))
 
 
 @dataclass

@@ -48,10 +48,10 @@ def stream_comments(
 
 
 def write_comments(comments: DataFrame, path: str, records_per_file: int | None = None) -> None:
-    """JSON lines, non-ASCII kept; ``records_per_file=1`` gives one file a record."""
-    writer = comments.select(
-        "user", "comment", F.col("timestamp").cast("string").alias("timestamp")
-    ).write.mode("append")
+    """JSON lines, non-ASCII kept; ``records_per_file=1`` gives one file a record. Times are plain
+    seconds with six decimals."""
+    stamp = F.when(F.col("timestamp").isNotNull(), F.format_string("%.6f", F.col("timestamp").cast("double")))
+    writer = comments.select("user", "comment", stamp.alias("timestamp")).write.mode("append")
     if records_per_file:
         writer = writer.option("maxRecordsPerFile", records_per_file)
     writer.json(path)

@@ -46,19 +46,11 @@ def minute_counts(scored: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def drop_repeats(comments: DataFrame, delay: str = "10 minutes", salts: int = 16) -> DataFrame:
+def drop_repeats(comments: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The same comment of the same user passes once within the delay.
 
-    Two steps: first within one of ``salts`` parts of a pair's rows, then over the parts. A
-    pair that makes up much of the stream is so shared among ``salts`` tasks, and at most
-    ``salts`` of its rows reach the single task of the second step.
+    State: the time at which each pair of the delay passed. Rows of one pair are judged by one task;
+    a step before it that dropped some of them would renew its own times from rows that never passed.
     """
     marked = comments.withWatermark("event_time", delay)
-    if salts > 1:
-        salt = F.pmod(F.xxhash64("event_time"), F.lit(salts))
-        marked = (
-            marked.withColumn("__salt", salt)
-            .dropDuplicatesWithinWatermark(["user", "comment", "__salt"])
-            .drop("__salt")
-        )
     return marked.dropDuplicatesWithinWatermark(["user", "comment"])

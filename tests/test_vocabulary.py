@@ -139,3 +139,55 @@ def test_tokens_keep_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (2, ""), (3, "..")], "id int, t string")
     assert tokens(df, "id", "t").count() == 2
     assert tokens(df, "id", "t", keep_empty=True).count() == 4
+
+
+def test_only_unresolved_tokens_are_shuffled(spark):
+    """9,500 of 10,000 tokens are one word of the broadcast part: they don't take part in the second join."""
+    tokens = spark.range(10_000).select(
+        "id", F.when(F.col("id") % 20 > 0, "often").otherwise(F.concat(F.lit("w"), "id")).alias("word")
+    )
+    words = spark.createDataFrame([("often", 9_500, 1)] + [(f"w{i}", 1, 2) for i in range(0, 5_000, 20)], "word string, n long, v int")
+    found = look_up(tokens, words, ["v"], budget=0, limit=1000)
+    assert found.count() == 10_000
+    counts = {r["v"]: r["count"] for r in found.groupBy("v").count().collect()}
+    assert counts == {1: 9_500, 2: 250, None: 250}
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    written = [
+        node.metrics().apply("shuffleRecordsWritten").value()
+        for node in _nodes(plan)
+        if node.nodeName() == "Exchange"
+    ]
+    # 500 tokens without an entry in the broadcast part, and the 250 rare words once for each of 8 salts.
+    assert written and 0 < sum(written) <= 500 + 250 * 8
+
+
+def _nodes(plan):
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+@pytest.mark.parametrize("budget", [0, 10**9])
+def test_look_up_without_counts(spark, budget):
+    tokens = spark.createDataFrame([("a",), ("b",), (None,), ("a",)], "word string")
+    for counts in ([("a", None, 1), ("b", 5, 2)], [("a", 0, 1), ("b", 0, 2)]):
+        words = spark.createDataFrame(counts, "word string, n long, v int")
+        got = look_up(tokens, words, ["v"], budget=budget).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", 1), ("b", 2), (None, None), ("a", 1)]))
+
+
+def test_matrix_of_all_words_with_repeated_vectors_and_padding(spark):
+    words = spark.createDataFrame([("a", 3, 1), ("b", 2, 2), ("c", 1, 20_000)], "word string, n long, idx long")
+    vectors = spark.createDataFrame([("a", [1.0]), ("a", [2.0]), ("c", [5.0]), ("x", [9.0])], "word string, vec array<float>")
+    got = {r["idx"]: (r["word"], r["vec"]) for r in embedding_matrix(words, vectors, 1, limit=None, padding=True).collect()}
+    assert got == {0: (None, [0.0]), 1: ("a", [2.0]), 2: ("b", [0.0]), 20_000: ("c", [5.0])}
+    assert {r["idx"]: r["vec"] for r in embedding_matrix(words, vectors, 1).collect()} == {1: [2.0], 2: [0.0], 20_000: [0.0]}
