@@ -343,6 +343,32 @@ FROM corpus c JOIN normal n USING (doc_id) JOIN events e ON e.event_id = c.doc_i
 SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) FILTER (prediction = 0) AS clean,
   count(*) FILTER (prediction = 1) AS offensive, count(*) FILTER (prediction = 2) AS hate
 FROM live GROUP BY date_trunc('minute', ts)""",
+    "stream_users": """SELECT count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS count_user, true AS near FROM events""",
+    **{
+        key: f"""WITH {CORPUS}, {LABELLED}
+SELECT '{name}' AS model, count(*) AS test_rows, count(*) AS in_classes, true AS beats_commonest,
+  true AS same_after_loading, true AS finite_loss
+FROM labelled JOIN corpus USING (doc_id) WHERE text_clean <> '' AND "set" = 'Test'"""
+        for key, name in {
+            "model_lr": "logistic_regression", "model_dt": "decision_tree",
+            "model_rf": "random_forest", "model_mlp": "word_vectors",
+        }.items()
+    },
+    "csv_corpus": """SELECT 'say "a, b"' || chr(10) || text AS free_text,
+  CASE WHEN doc_id % 5 < 3 THEN CAST(doc_id % 5 AS INTEGER) END AS label_id FROM documents""",
+    "stop_word_file": f"SELECT DISTINCT unnest({_words('text')}) AS word FROM benchmark",
+    "vector_file": """SELECT 'w' || vec_id AS word, array_to_string(list_transform(embedding,
+  lambda f: CAST(round(f::DOUBLE * 1000000) AS BIGINT)), ',') AS vec FROM embeddings""",
+    "id_log": f"""WITH {_LINKS}
+SELECT DISTINCT id FROM link_ids WHERE id NOT IN (SELECT id FROM link_ids WHERE page_id % 3 < 2)""",
+    "first_ids": f"WITH {_LINKS} SELECT DISTINCT id FROM link_ids ORDER BY id LIMIT 100",
+    "json_sink": f"""WITH {COMMENTS} SELECT "user", comment, (micros // 1000000) || '.' ||
+  lpad(CAST(micros % 1000000 AS VARCHAR), 6, '0') AS "timestamp" FROM comments""",
+    "json_source": f'WITH {COMMENTS} SELECT "timestamp", "user", comment FROM comments',
+    "fitted_tables": f"WITH {VECTORS} SELECT word, n, idx FROM bench_words",
+    "post_ids": "SELECT page_id, CAST(page_id AS VARCHAR) AS id FROM pages",
+    "comment_links": """SELECT page_id, page_id || '_' || page_id * 7 AS token, CAST(page_id AS VARCHAR) AS post,
+  CAST(page_id * 7 AS VARCHAR) AS number FROM pages""",
     "stream_dedup": f'WITH {_EVENT_LABELS} SELECT DISTINCT "user", comment FROM live',
     "stream_snapshot": f"""WITH {SCORED}, cleaned AS (SELECT *, {_norm('comment')} AS norm FROM scored),
 label_rows AS (SELECT {_name('prediction')} AS label, count(*) AS n FROM cleaned GROUP BY prediction),
@@ -351,5 +377,11 @@ SELECT 'labels' AS panel, CAST(to_json(list({{'label': label, 'n': n}} ORDER BY
 UNION ALL SELECT 'counters', CAST(to_json([{{'count_clean': count(*) FILTER (prediction = 0),
   'count_offensive': count(*) FILTER (prediction = 1), 'count_hate': count(*) FILTER (prediction = 2),
   'count_user': count(DISTINCT "user")}}]) AS VARCHAR) FROM cleaned
+UNION ALL SELECT 'minutes', CAST(to_json(list({{'date_time': strftime(minute, '%H:%M %d-%m-%Y'), 'clean': c0, 'offensive': c1, 'hate': c2}} ORDER BY minute)) AS VARCHAR)
+FROM (SELECT date_trunc('minute', event_time) AS minute, count(*) FILTER (prediction = 0) AS c0, count(*) FILTER (prediction = 1) AS c1,
+  count(*) FILTER (prediction = 2) AS c2 FROM cleaned GROUP BY ALL)
+UNION ALL SELECT 'recent', CAST(to_json(list({{'date': strftime(event_time, '%d-%m-%Y'), 'time': strftime(event_time, '%H:%M:%S'),
+  'user': "user", 'comment': norm, 'label': {_name('prediction')}}} ORDER BY "timestamp", "user", norm)) AS VARCHAR)
+FROM (SELECT * FROM cleaned ORDER BY "timestamp" DESC, "user" DESC, norm DESC LIMIT 10)
 UNION ALL SELECT 'words', CAST(to_json(list({{'text': text, 'size': size}} ORDER BY size DESC, text)) AS VARCHAR) FROM word_rows""",
 }

@@ -7,20 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 from plainspeak.functions import labels
 from plainspeak.operators.frames import spread
 from plainspeak.operators.vocabulary import fit_vocabulary
 from plainspeak.plans.cleaning import clean_comments
-from plainspeak.session import shared_folder, stored
-from plainspeak.sources.comments import project_comments
+from plainspeak.session import shared_folder, stored, work_path
+from plainspeak.sources.comments import project_comments, stream_comments, write_comments
 
 STOP_LIST_SIZE = 50
 VECTOR_SIZE = 64
 
-DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -155,33 +153,43 @@ def labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def document_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as a stream, joined to the events table: comments."""
-    stream = (
-        spark.readStream.schema(DOCUMENTS)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
-    stream = spread(stream, "doc_id", like=table(spark, folder, "documents"))
-    events = table(spark, folder, "events").select("event_id", "ts", "user_id")
-    return _comment_columns(stream.join(events, F.col("doc_id") == F.col("event_id")), "n_chars")
+#: Files a stream is staged as; each is a micro-batch of its own.
+STREAM_FILES = 4
+_STAGED: dict[tuple, str] = {}
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a stream of scored comments: the class comes from the labels table."""
-    stream = (
-        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
-    known = class_labels(spark, folder).select(
-        F.col("doc_id").alias("event_id"), F.col("label_id").alias("prediction")
-    )
-    stamp = F.col("ts").cast("timestamp")
-    return stream.join(known, "event_id", "left").select(
-        (F.unix_micros(stamp) / 1e6).alias("timestamp"),
-        F.col("user_id").cast("string").alias("user"),
-        F.col("event_type").alias("comment"),
-        F.coalesce("prediction", F.lit(0)).alias("prediction"),
-        stamp.alias("event_time"),
+def _stream(spark: SparkSession, folder: str, name: str, rows, extra: str) -> DataFrame:
+    """Comments as a stream of JSON files in the shared folder, written once a session."""
+    fields = T._parse_datatype_string(extra)
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STAGED:
+        path = work_path(spark, name)
+        write_comments(rows().repartition(STREAM_FILES, fields.fieldNames()[0]), path, extra=fields)
+        _STAGED[key] = path
+    return stream_comments(spark, _STAGED[key], files_per_trigger=1, extra=fields)
+
+
+def document_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Captured documents, with doc_id and n_chars."""
+    return _stream(
+        spark, folder, "document-inbox", lambda: comments(spark, folder, "n_chars"), "doc_id bigint, n_chars bigint"
     )
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as scored comments: the class comes from the labels table."""
+
+    def rows():
+        known = class_labels(spark, folder).select(
+            F.col("doc_id").alias("event_id"), F.col("label_id").alias("prediction")
+        )
+        stamp = F.col("ts").cast("timestamp")
+        return table(spark, folder, "events").join(known, "event_id", "left").select(
+            "event_id",
+            (F.unix_micros(stamp) / 1e6).alias("timestamp"),
+            F.col("user_id").cast("string").alias("user"),
+            F.col("event_type").alias("comment"),
+            F.coalesce("prediction", F.lit(0)).alias("prediction"),
+        )
+
+    return _stream(spark, folder, "event-inbox", rows, "event_id bigint, prediction int")

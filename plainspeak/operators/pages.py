@@ -33,6 +33,23 @@ def link_ids(pages: DataFrame) -> DataFrame:
     )
 
 
+def post_ids(pages: DataFrame) -> DataFrame:
+    """page_id, id: distinct post ids (``sid=``) of each page's links."""
+    links = page_links(pages).select("page_id", "link")
+    found = compute_once(links, "id", L.post_id("link")).select("page_id", "id")
+    return found.filter(F.col("id").isNotNull()).distinct()
+
+
+def comment_links(pages: DataFrame) -> DataFrame:
+    """page_id, token, post, number: distinct comment tokens (``ctoken=``) of each page's links, with the
+    post (first half) and the comment's number (second half)."""
+    links = page_links(pages).select("page_id", "link")
+    found = compute_once(links, "token", L.comment_token("link")).select("page_id", "token")
+    return found.filter(F.col("token").isNotNull()).distinct().select(
+        "page_id", "token", F.split_part("token", F.lit("_"), F.lit(1)).alias("post"), L.comment_number("token").alias("number")
+    )
+
+
 def page_blocks(pages: DataFrame) -> DataFrame:
     """page_id, block: trimmed, non-blank text blocks, each once a page.
 

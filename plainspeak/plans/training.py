@@ -13,7 +13,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import IDF, CountVectorizer, Tokenizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,9 +114,22 @@ def fit_vector_model(
     features: VectorFeatures, train: DataFrame, key: str, text: str = "text_clean",
     label: str = "label_id",
 ) -> PipelineModel:
-    prepared = stored(features.transform(train, key, text).select("pooled", label), "pooled")
-    model = build_model("word_vectors", text, label, inputs=2 * features.dimension)
-    return model.fit(prepared)
+    return fit_prepared_vectors(features, features.transform(train, key, text), text, label)
+
+
+def fit_prepared_vectors(
+    features: VectorFeatures, train: DataFrame, text: str = "text_clean", label: str = "label_id"
+) -> PipelineModel:
+    """Fit on rows that ``features`` has transformed already."""
+    prepared = stored(train.select("pooled", label), "pooled")
+    return build_model("word_vectors", text, label, inputs=2 * features.dimension).fit(prepared)
+
+
+def validate(model: PipelineModel, data: DataFrame, label: str = "label_id") -> DataFrame:
+    """loss, accuracy on a part that the fit hasn't seen. Tree models give a probability of zero at times;
+    the loss counts it as a small number."""
+    scored = model.transform(data).withColumn("scores", vector_to_array("probability"))
+    return metrics.log_loss(scored, label)
 
 
 def predictions(model: PipelineModel, data: DataFrame, label: str = "label_id") -> DataFrame:

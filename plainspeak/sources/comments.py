@@ -32,26 +32,35 @@ def project_comments(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_comments(spark: SparkSession, path: str) -> DataFrame:
-    return project_comments(spark.read.schema(CAPTURED).json(path))
+def _schema(extra: T.StructType | None) -> T.StructType:
+    return T.StructType([*CAPTURED.fields, *(extra.fields if extra else [])])
+
+
+def read_comments(spark: SparkSession, path: str, extra: T.StructType | None = None) -> DataFrame:
+    """``extra``: further fields of the records, kept as they are."""
+    return project_comments(spark.read.schema(_schema(extra)).json(path))
 
 
 def stream_comments(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, extra: T.StructType | None = None
 ) -> DataFrame:
     """Each new file adds rows. A broken record reads as an all-NULL row, which the
-    non-empty filter of the cleaning plan drops."""
-    reader = spark.readStream.schema(CAPTURED)
+    non-empty filter of the cleaning plan drops. ``extra`` as in ``read_comments``."""
+    reader = spark.readStream.schema(_schema(extra))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return project_comments(reader.json(path))
 
 
-def write_comments(comments: DataFrame, path: str, records_per_file: int | None = None) -> None:
+def write_comments(
+    comments: DataFrame, path: str, records_per_file: int | None = None, extra: T.StructType | None = None
+) -> None:
     """JSON lines, non-ASCII kept; ``records_per_file=1`` gives one file a record. Times are plain
-    seconds with six decimals."""
+    seconds with six decimals. ``extra`` fields are written as well."""
     stamp = F.when(F.col("timestamp").isNotNull(), F.format_string("%.6f", F.col("timestamp").cast("double")))
-    writer = comments.select("user", "comment", stamp.alias("timestamp")).write.mode("append")
+    writer = comments.select(
+        "user", "comment", stamp.alias("timestamp"), *(extra.fieldNames() if extra else [])
+    ).write.mode("append")
     if records_per_file:
         writer = writer.option("maxRecordsPerFile", records_per_file)
     writer.json(path)

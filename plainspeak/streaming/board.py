@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import labels, times
-from ..functions.fixed_values import LABEL_NAMES, RECENT_ROWS, TOP_WORDS
+from ..functions.fixed_values import LABEL_NAMES, MINUTE_FORMAT, RECENT_ROWS, TOP_WORDS
 from ..operators import panels
 from . import sinks
 
@@ -170,6 +170,10 @@ class Board:
         """The last ten over all batches are among the last ten of each."""
         return panels.recent_comments(self.partial("recent"))
 
+    def recent_rows(self) -> DataFrame:
+        """The same rows with their time stamp, in no order."""
+        return panels.time_labels(_last(self.partial("recent")))
+
     def top_words(self, number: int = TOP_WORDS) -> DataFrame:
         return (
             self.partial("words")
@@ -188,6 +192,17 @@ class Board:
                 ["count_clean", "count_offensive", "count_hate", "count_user"],
                 [F.lit(0)],
             ),
+            "minutes": panels.records(
+                self.label_by_minute().withColumn("date_time", F.date_format("minute", MINUTE_FORMAT)),
+                ["date_time", "clean", "offensive", "hate"],
+                [F.col("minute")],
+            ),
+            # recent() is ten rows, oldest first; their place orders the records.
+            "recent": panels.records(
+                self.recent_rows(),
+                ["date", "time", "user", "comment", "label"],
+                [F.col("timestamp"), F.col("user"), F.col("comment")],
+            ),
             "words": panels.records(self.top_words(), ["text", "size"], [-F.col("size"), F.col("text")]),
         }
         out = None
