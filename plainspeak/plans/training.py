@@ -30,7 +30,7 @@ VECTOR_MODELS = ("word_vectors",)
 VOCABULARY_SIZE = 262_144
 # Tree learners hold a bin number for every feature of every row, present or not, so a row costs
 # four bytes a vocabulary word. They are fitted on at most so many labelled rows, all words kept.
-TREE_ROWS = 2_000
+TREE_ROWS = 600
 TREE_MODELS = ("decision_tree", "random_forest")
 
 
