@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,7 +59,51 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts lineage,
-    survives lost executors, and gives later joins real sizes."""
+    survives lost executors, and gives later joins real sizes. Inside ``scratch`` it is
+    removed at the end, else it stays for whoever holds the frame."""
     path = work_path(df.sparkSession, name)
+    if getattr(_scopes, "stack", None):
+        _scopes.stack[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What ``stored`` writes inside, in this thread, is removed at the end, also after an error.
+    Frames made inside have to be used up there."""
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    _scopes.stack.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.stack.pop():
+            remove(spark, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours in whatever store it is; none is no error."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.mkdirs(place)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(x.getPath().getName() for x in system.listStatus(place))

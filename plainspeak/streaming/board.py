@@ -1,19 +1,23 @@
 """The live board: score new comments once, keep panels that add up.
 
-For every micro-batch the board writes the scored rows and four small partial tables
-under the batch id. A panel is a merge of the partial tables, so no refresh reads the
-scored history, and the work of a micro-batch depends on its own rows only. A batch that
-is delivered again overwrites its own files and nothing else.
+For every micro-batch the board writes the scored rows and four small partial tables. A panel is a
+merge of the partial tables, so no refresh reads the scored history, and the work of a micro-batch
+depends on its own rows only.
 
-Every so many batches the partial tables of all batches before are merged into a base, so
-that a panel reads one base and the batches since.
+A batch counts from the moment its entry is in the log, which is made after its last table. An entry
+names the delivery it stands for: a repeated delivery writes beside the first one and takes its place
+with its entry, so a reader sees the old state or the new one, never half of a batch.
+
+Every so many batches the partial tables so far are merged into a base, and what the base before
+replaced is removed (not yet what this one replaces: readers may be at it). A refresh reads one base
+and the batches since, so neither the files it lists nor the files kept grow with the batches delivered.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import labels, times
 from ..functions.fixed_values import LABEL_NAMES, MINUTE_FORMAT, RECENT_ROWS, TOP_WORDS
 from ..operators import panels
+from ..session import folder_names, make_folder, remove, scratch
 from . import sinks
 
 SCORED = T.StructType(
@@ -32,12 +37,12 @@ SCORED = T.StructType(
         T.StructField("prediction", T.IntegerType()),
     ]
 )
-_TABLES = {
-    "scored": "timestamp double, user string, comment string, prediction int, batch int, day date",
-    "minutes": "minute timestamp, prediction int, n bigint, batch int",
-    "users": "user string, batch int",
-    "words": "text string, size bigint, batch int",
-    "recent": "timestamp double, user string, comment string, prediction int, batch int",
+_STORED = "timestamp double, user string, comment string, prediction int, batch int, day date"
+_PARTS = {
+    "minutes": "minute timestamp, prediction int, n bigint",
+    "users": "user string",
+    "words": "text string, size bigint",
+    "recent": "timestamp double, user string, comment string, prediction int",
 }
 
 
@@ -47,7 +52,7 @@ class Board:
         spark: SparkSession,
         folder: str,
         score: Callable[[DataFrame], DataFrame] | None = None,
-        merge_every: int = 500,
+        merge_every: int = 100,
     ) -> None:
         """``score`` turns a micro-batch into rows of SCORED; None for scored input."""
         self.spark = spark
@@ -62,68 +67,76 @@ class Board:
         spark = batch.sparkSession
         if batch_id and batch_id % self.merge_every == 0:
             self.merge_before(batch_id)
-        day = F.to_date(times.event_time("timestamp"))
-        scored = self.score(batch).select(*[F.col(f.name).cast(f.dataType) for f in SCORED])
-        path = self._path("scored", batch_id)
-        scored.withColumn("day", day).write.mode("overwrite").partitionBy("day").parquet(path)
+        base = self._base()
+        if base is not None and batch_id <= base:
+            return  # delivered and merged before
+        entry = self._entry("batch", batch_id)
+        path = f"{self.folder}/scored/batch={batch_id}"
+        with scratch(spark):  # what scoring stores is gone with the batch
+            day = F.to_date(times.event_time("timestamp"))
+            scored = self.score(batch).select(*[F.col(f.name).cast(f.dataType) for f in SCORED])
+            # A day's rows go to few files however many tasks hold some of them; a large day is split.
+            scored.withColumn("day", day).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
 
         # Read back what was written: scoring runs once, and each table below reads only
         # the columns it needs.
         rows = spark.read.schema(SCORED).parquet(path)
         minute = F.date_trunc("minute", times.event_time("timestamp"))
-        self._write(
-            rows.groupBy(minute.alias("minute"), "prediction").agg(F.count("*").alias("n")),
-            "minutes", batch_id,
-        )
-        self._write(rows.select("user").distinct(), "users", batch_id)
-        self._write(panels.word_counts(rows), "words", batch_id)
-        self._write(_last(rows), "recent", batch_id)
+        parts = {
+            "minutes": rows.groupBy(minute.alias("minute"), "prediction").agg(F.count("*").alias("n")),
+            "users": rows.select("user").distinct(),
+            "words": panels.word_counts(rows),
+            "recent": _last(rows),
+        }
+        for name, part in parts.items():
+            part.write.parquet(f"{self.folder}/parts/{entry}/{name}")
+        make_folder(self.spark, f"{self.folder}/log/{entry}")
+
+    def scored(self) -> DataFrame:
+        """All scored rows so far, with batch and day."""
+        return self.spark.read.schema(_STORED).parquet(f"{self.folder}/scored")
 
-    def _path(self, table: str, batch_id: int) -> str:
-        return f"{self.folder}/{table}/batch={batch_id}"
+    @staticmethod
+    def _entry(kind: str, number: int) -> str:
+        return f"{kind}-{number:012d}-{time.time_ns():020d}"
 
-    def _write(self, rows: DataFrame, table: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(self._path(table, batch_id))
+    def _entries(self, kind: str) -> dict[int, str]:
+        """The newest entry of each number."""
+        names = [n for n in folder_names(self.spark, f"{self.folder}/log") if n.startswith(f"{kind}-")]
+        return {int(n.split("-")[1]): n for n in names}
 
-    def table(self, name: str) -> DataFrame:
-        """A table over all batches delivered so far."""
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.folder}/{name}")
+    def _base(self) -> int | None:
+        return max(self._entries("base"), default=None)
 
     def merge_before(self, batch_id: int) -> None:
-        """Merge the partial tables of all batches before this one into a base. Batches are
-        delivered one after the other, so those are complete. The base counts from the
-        moment it is entered in the log; entering it again changes nothing."""
-        upto = batch_id - 1
-        base = self._base()
-        if base is not None and base >= upto:
+        """Merge what counts before this batch into a base. Batches are delivered one after the other, so
+        those are complete."""
+        upto, bases = batch_id - 1, self._entries("base")
+        last = max(bases, default=None)
+        if last is not None and last >= upto:
             return
+        entry = self._entry("base", upto)
         for name, merge in _MERGES.items():
-            merge(self.partial(name, upto)).write.mode("overwrite").parquet(self._base_path(name, upto))
-        self.spark.range(upto, upto + 1).select(F.col("id").cast("int").alias("upto")).write.mode(
-            "append"
-        ).parquet(f"{self.folder}/base/log")
-
-    def _base_path(self, name: str, upto: int) -> str:
-        return f"{self.folder}/base/{name}/upto={upto}"
-
-    def _base(self) -> int | None:
-        try:
-            log = self.spark.read.schema("upto int").parquet(f"{self.folder}/base/log")
-        except AnalysisException:  # nothing merged yet
-            return None
-        return log.agg(F.max("upto")).first()[0]
+            merge(self.partial(name, upto)).write.parquet(f"{self.folder}/parts/{entry}/{name}")
+        make_folder(self.spark, f"{self.folder}/log/{entry}")
+        if last is None:
+            return
+        for name in folder_names(self.spark, f"{self.folder}/parts"):
+            kind, number, _ = name.split("-")
+            if int(number) <= last and name != bases[last]:
+                remove(self.spark, f"{self.folder}/log/{name}")
+                remove(self.spark, f"{self.folder}/parts/{name}")
 
     def partial(self, name: str, upto: int | None = None) -> DataFrame:
         """A partial table: the base and the batches since, up to ``upto`` if given."""
-        rows = self.table(name)
-        if upto is not None:
-            rows = rows.filter(F.col("batch") <= upto)
-        base = self._base()
-        if base is None:
-            return rows.drop("batch")
-        since = rows.filter(F.col("batch") > base).drop("batch")
-        merged = self.spark.read.schema(since.schema).parquet(self._base_path(name, base))
-        return merged.unionByName(since)
+        bases, batches = self._entries("base"), self._entries("batch")
+        base = max(bases, default=-1)
+        entries = [bases[base]] if base >= 0 else []
+        entries += [e for b, e in batches.items() if b > base and (upto is None or b <= upto)]
+        paths = [f"{self.folder}/parts/{e}/{name}" for e in entries]
+        if not paths:
+            return self.spark.createDataFrame([], _PARTS[name])
+        return self.spark.read.schema(_PARTS[name]).parquet(*paths)
 
     def label_counts(self) -> DataFrame:
         return (

@@ -129,6 +129,6 @@ def test_stream_to_array_model(spark, tmp_path):
 
     board = Board(spark, str(tmp_path / "board"), score)
     sinks.finish(board.start(stream_comments(spark, str(inbox), files_per_trigger=4), every=None))
-    rows = board.table("scored").orderBy("timestamp").collect()
+    rows = board.scored().orderBy("timestamp").collect()
     assert [r["prediction"] for r in rows] == [0, 2, 0, 2, 1, 1]
     assert [r["comment"] for r in rows][:3] == ["good fine", "hate burn", "good unseen"]

@@ -75,7 +75,7 @@ def test_board_over_many_batches(spark, tmp_path, merge_every):
     add_files(inbox, 0, 30)
     board = Board(spark, str(tmp_path / "board"), score, merge_every)
     sinks.finish(board.start(stream_comments(spark, str(inbox), files_per_trigger=7), every=None))
-    assert board.table("scored").select("batch").distinct().count() == 5
+    assert board.scored().select("batch").distinct().count() == 5
     whole = spark.createDataFrame(score(read_comments(spark, str(inbox))).collect(), SCORED)
     assert same(board.label_counts().orderBy("label"), panels.label_counts(whole).orderBy("label"))
     minutes = panels.label_by_minute(whole).drop("date_time")
@@ -94,9 +94,9 @@ def test_board_repeated_delivery(spark, tmp_path):
     batch = read_comments(spark, str(tmp_path / "in"))
     board.deliver(batch, 0)
     board.deliver(batch.limit(3), 1)
-    before = sorted(board.table("scored").collect(), key=str), board.snapshot().collect()
+    before = sorted(board.scored().collect(), key=str), board.snapshot().collect()
     board.deliver(batch, 0)
-    assert (sorted(board.table("scored").collect(), key=str), board.snapshot().collect()) == before
+    assert (sorted(board.scored().collect(), key=str), board.snapshot().collect()) == before
 
 
 def test_board_merge_again(spark, tmp_path):
@@ -110,6 +110,45 @@ def test_board_merge_again(spark, tmp_path):
     assert board._base() == 1 and board.partial("words").agg(F.sum("size")).first()[0] > 0
 
 
+def test_board_keeps_a_bounded_number_of_folders(spark, tmp_path):
+    board = Board(spark, str(tmp_path / "board"), merge_every=3)
+    rows = spark.createDataFrame([(60.0, "u", "x y", 1), (None, "v", "x", 0)], SCORED).coalesce(1)
+    kept = []
+    for i in range(20):
+        board.deliver(rows, i)
+        kept.append(len(list((tmp_path / "board" / "parts").iterdir())))
+        assert len(list((tmp_path / "board" / "log").iterdir())) == kept[-1]
+    assert max(kept[10:]) <= 2 * 3 + 2
+    assert sum(r["n"] for r in board.label_counts().collect()) == 40
+    assert {r["text"]: r["size"] for r in board.top_words().collect()} == {"x": 40, "y": 20}
+
+
+def test_a_batch_counts_when_its_last_table_is_there(spark, tmp_path, monkeypatch):
+    board = Board(spark, str(tmp_path / "board"))
+    rows = spark.createDataFrame([(60.0, "u", "x", 1)], SCORED)
+    board.deliver(rows, 0)
+    monkeypatch.setattr("plainspeak.streaming.board._last", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        board.deliver(rows, 1)
+    monkeypatch.undo()
+    assert board.label_counts().first()["n"] == 1
+    board.deliver(rows, 1)
+    assert board.label_counts().first()["n"] == 2
+
+
+def test_what_scoring_stores_is_gone_with_the_batch(spark, tmp_path):
+    import glob
+
+    from plainspeak.plans.encoding import with_row_ids
+    from plainspeak.session import shared_folder
+
+    pattern = shared_folder(spark).removeprefix("file:") + "/rows-*"
+    before = set(glob.glob(pattern))
+    board = Board(spark, str(tmp_path / "board"), lambda batch: with_row_ids(batch).drop("row_id"))
+    board.deliver(spark.createDataFrame([(60.0, "u", "x", 1)], SCORED), 0)
+    assert board.label_counts().first()["n"] == 1 and set(glob.glob(pattern)) == before
+
+
 def test_board_hot_user_and_no_time(spark, tmp_path):
     rows = [(None, "u", "x", 1)] * 5 + [(60.0, None, "x y", 0)]
     board = Board(spark, str(tmp_path / "board"))
