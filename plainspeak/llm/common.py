@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import work_path
 
 #: A key is hot if it holds more than 1/HOT_KEYS of all rows: there are fewer than HOT_KEYS hot keys
 #: whatever the data, which bounds what is broadcast.
@@ -39,5 +39,7 @@ def left_join_by_key(rows: DataFrame, keyed: DataFrame, key: str, weight: str) -
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read again: lineage ends here."""
-    return stored(df, name)
+    """Written once to the shared folder, as small as Spark can, and read again: lineage ends here."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
