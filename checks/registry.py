@@ -254,7 +254,7 @@ def preprocess_phrases(spark, folder):
     normal = stored(cleaning.normalise_comments(docs, "text").drop("text"), "normal")
     lexicon = stored(phrases.fit_phrases(t.spread(normal, "doc_id"), "comment_norm"), "lexicon")
     cleaned = cleaning.clean_with_phrases(
-        docs, lexicon, "doc_id", t.stop_list(spark, folder), "text"
+        t.spread(normal, "doc_id"), lexicon, "doc_id", t.stop_list(spark, folder)
     )
     return cleaned.select("doc_id", F.col("comment_clean").alias("text_clean"))
 

@@ -52,8 +52,11 @@ def clean_with_phrases(
     extended_emoji: bool = False,
 ) -> DataFrame:
     """``clean_comments`` with compound words joined (``operators.phrases``) before stop
-    words and emoji are removed. ``key`` is unique."""
-    normal = normalise_comments(comments, text, strict_unicode, email_first)
+    words and emoji are removed. ``key`` is unique. The rows are read twice, so store
+    ``normalise_comments`` and pass that: rows with ``comment_norm`` aren't normalised again."""
+    normal = comments
+    if "comment_norm" not in comments.columns:
+        normal = normalise_comments(comments, text, strict_unicode, email_first)
     joined = join_phrases(normal, lexicon, key, "comment_norm").withColumnRenamed(
         "comment_norm", "comment_joined"
     )
