@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from plainspeak.functions import fixed_values as V
-from plainspeak.functions.text import emoji_pattern
 
 from .tables import STOP_LIST_SIZE, VECTOR_SIZE
 
@@ -21,8 +20,12 @@ def _norm(e: str) -> str:
     return f"lower(trim({e}))"
 
 
+# Fixed values, written out here so that the SQL doesn't depend on the code it checks.
+_EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]"
+
+
 def _emoji(e: str) -> str:
-    return f"regexp_replace({e}, {_text(emoji_pattern())}, '', 'g')"
+    return f"regexp_replace({e}, '{_EMOJI}', '', 'g')"
 
 
 def _words(e: str) -> str:
