@@ -30,20 +30,20 @@ def ml_words(text):
 def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, tfidf. ``key`` is unique.
 
-    Texts are shuffled whole, before they are taken apart; terms are then counted within
-    the document's task. ``docs`` is read twice (terms, number of documents).
+    Document frequencies come first, from the distinct terms of each text, combined in the map tasks; only
+    they are stored. Then texts are shuffled whole, before they are taken apart, and terms are counted
+    within the document's task. ``docs`` is read twice, so costly cleaning is best stored before.
     """
-    counts = stored(
+    terms = F.explode(F.array_distinct(ml_words(text))).alias("term")
+    frequency = stored(docs.select(terms).groupBy("term").agg(F.count("*").alias("df")), "document-frequency")
+    documents = docs.count()
+    frequency = frequency.withColumn("idf", F.ln(F.lit(float(documents + 1)) / (F.col("df") + 1)))
+    counts = (
         docs.select(key, text)
         .repartition(key)
         .select(key, F.explode(ml_words(text)).alias("term"))
         .groupBy(key, "term")
-        .agg(F.count("*").alias("tf")),
-        "term-counts",
+        .agg(F.count("*").alias("tf"))
     )
-    documents = docs.count()
-    frequency = stored(
-        counts.groupBy("term").agg(F.count("*").alias("df")), "document-frequency"
-    ).withColumn("idf", F.ln(F.lit(float(documents + 1)) / (F.col("df") + 1)))
     weighed = look_up(counts, frequency, ["idf"], key="term", word="term", count="df", salt_from=[key])
     return weighed.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
