@@ -49,7 +49,7 @@ def _pieces(size: int, vocabulary: str | None, with_ids: bool):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(vocabulary, added=True)
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 256):
