@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .common import keep, left_join_by_key, whole_text
 from .components import components
 
@@ -50,20 +51,25 @@ CHUNK = 1 << 20
 # --- fingerprints -------------------------------------------------------------------
 
 
-def fingerprint(text: str, width: int = WIDTH, seed: int = 42) -> int:
-    """The fingerprint of one whole text as an unsigned number."""
+def shingle_hashes(text: str, width: int = WIDTH, seed: int = 42) -> list[int]:
+    """XXH64 of every shingle of one whole text, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-        return _majority(hashes)
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)]
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    return _majority([digest(line[a:b], seed) for a, b in zip(first, last)])
+    return [digest(line[a:b], seed) for a, b in zip(first, last)]
+
+
+def fingerprint(text: str, width: int = WIDTH, seed: int = 42) -> int:
+    """The fingerprint of one whole text as an unsigned number."""
+    hashes = shingle_hashes(text, width, seed)
+    return _majority(hashes) if hashes else 0
 
 
 def _majority(hashes: list[int]) -> int:
@@ -352,9 +358,55 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, all columns kept; rows without an
-    id stay, as no later step could name them."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def _tagged(docs: DataFrame, text_col: str, width: int, similarity: float | None) -> DataFrame:
+    """``docs`` with ``__key``, the fingerprint, or with ``similarity`` the key of the shingle set and its
+    ``__buckets``."""
+    schema, at = T.StructType(list(docs.schema.fields)).add("__key", "long"), docs.columns.index(text_col)
+    if similarity is not None:
+        schema = schema.add("__buckets", T.ArrayType(T.LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = (t.as_py() or "" for t in batch.column(at))
+            if similarity is None:
+                keys, more = [fingerprint(t, width) for t in texts], []
+            else:
+                keys, spots = [], []
+                for t in texts:
+                    found = similar.hash_set(shingle_hashes(t, width))
+                    keys.append(similar.key(found))
+                    spots.append(similar.buckets(found))
+                more = [pa.array(spots, pa.list_(pa.int64()))]
+            signed = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed, *more], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    budget: int = BUDGET,
+    similarity: float | None = None,
+) -> DataFrame:
+    """One row of ``docs`` for each component, all columns kept: the one with its smallest id.
+
+    Texts link if their fingerprints differ in at most ``budget`` bits; with ``similarity`` if the sets of
+    their shingles of ``width`` words have at least that Jaccard similarity instead (see ``similar``). Rows
+    that repeat an id are judged by their texts. Rows without an id stay, as no later step could name them.
+    """
+    tagged = keep(_tagged(docs, text_col, width, similarity), "near-tagged")
+    named = tagged.filter(F.col(id_col).isNotNull())
+    keys = keep(tagged.groupBy("__key").agg(F.min(id_col).alias("least")), "near-keys")
+    if similarity is None:
+        found = links(keys.select(F.col("__key").alias("fp")), budget)
+    else:
+        found = similar.links(tagged, text_col, lambda text: shingle_hashes(text, width), similarity)
+    roots = components(keep(found, "near-links")).withColumnRenamed("node", "__key")
+    placed = keys.filter("least IS NOT NULL").join(roots, "__key", "left").withColumn("root", F.coalesce("root", "__key"))
+    first = placed.groupBy("root").agg(F.min(F.struct("least", "__key")).alias("first"))
+    first = first.select(F.col("first.least").alias(id_col), F.col("first.__key").alias("__key"))
+    kept = named.join(first, [id_col, "__key"], "left_semi").dropDuplicates([id_col, "__key"])
+    return kept.unionByName(tagged.filter(F.col(id_col).isNull())).select(docs.columns)

@@ -1,0 +1,61 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from plainspeak.llm import similar, simhash
+from plainspeak.llm.components import components
+
+
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or {" ".join(words)}
+
+
+def test_the_stage_drops_copies_that_are_similar_by_words(spark):
+    """Copies of texts with words replaced one by one, down to a similarity of 0.8; all are far apart in bits."""
+    r = random.Random(4)
+    docs, want = [], set()
+    for i in range(150):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([60, 300]))]
+        base, low = shingles(" ".join(words)), 0.8 if i % 3 else 0.5
+        other, text = list(words), " ".join(words)
+        while True:
+            other[r.randrange(len(other))] = f"v{r.randrange(5000)}"
+            now = shingles(" ".join(other))
+            s = len(base & now) / len(base | now)
+            if s < low:
+                break
+            text, last = " ".join(other), s
+        docs += [(i, " ".join(words)), (1000 + i, text)]
+        want |= {i} | ({1000 + i} if last < 0.8 else set())
+    found = corpus_pipeline.near_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in found.collect()} == want
+
+
+def test_a_large_group_of_copies_of_one_text(spark):
+    """Copies are near the text, not near each other, and more than a bucket compares in pairs."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(0, " ".join(words))]
+    for i in range(1, 300):
+        other = list(words)
+        for at in r.sample(range(10, 390), 6):
+            other[at] = f"v{r.randrange(10**6)}"
+        docs.append((i, " ".join(other)))
+    found = corpus_pipeline.near_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert [x["doc_id"] for x in found.collect()] == [0]
+
+
+def test_jaccard_and_empty_set():
+    a, b = np.arange(10, dtype="<u8"), np.arange(2, 10, dtype="<u8")
+    assert similar.jaccard(a, b) == 0.8 and len(similar.buckets(a[:0])) == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    one = " ".join(f"w{i}" for i in range(300))
+    docs = [(1, one), (5, one.upper()), (5, "a text of its own that has the same id as another one"), (7, "x y " * 9), (7, "X y " * 9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for found in (simhash.drop_near_duplicates(frame), corpus_pipeline.near_stage(spark, frame, "")):
+        rows = sorted((r["doc_id"], r["text"].lower()) for r in found.collect())
+        assert rows == [(1, one), (5, docs[2][1]), (7, "x y " * 9)]
