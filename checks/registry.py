@@ -512,7 +512,7 @@ def _judged_model(spark, folder, name, fit, features=lambda rows: rows):
         F.lit(name).alias("model"),
         F.count(F.lit(1)).alias("test_rows"),
         F.count_if(F.col("prediction").isin(0, 1, 2)).alias("in_classes"),
-        F.lit(hits[0] >= max(hits[1:])).alias("beats_commonest"),
+        F.lit(hits[0] > max(hits[1:])).alias("beats_commonest"),
         (F.count_if(F.col("prediction") != F.col("again")) == 0).alias("same_after_loading"),
         F.lit(loss is None or math.isfinite(loss)).alias("finite_loss"),
     )

@@ -29,7 +29,8 @@ VECTOR_MODELS = ("word_vectors",)
 #: CountVectorizer's own limit on the number of words, for all models alike; a parameter of ``fit``.
 VOCABULARY_SIZE = 262_144
 # Tree learners hold a bin number for every feature of every row, present or not, so a row costs
-# four bytes a vocabulary word. They are fitted on at most so many labelled rows, all words kept.
+# four bytes a vocabulary word. The tree alone is fitted on at most so many
+# labelled rows; words and document frequencies are those of all rows.
 TREE_ROWS = 600
 TREE_MODELS = ("decision_tree", "random_forest")
 
@@ -77,14 +78,18 @@ def fit(
     vocabulary_size: int = VOCABULARY_SIZE, rows: int | None = None,
 ) -> PipelineModel:
     """Fit on a cleaned, labelled corpus. The iterative optimisers read it many times, so
-    it is written once and read back. ``rows``: fit on at most so many rows, those with the smallest
-    hash of their text (default: all; TREE_ROWS for tree models)."""
-    chosen = train.select(text, label)
+    it is written once and read back. Vocabulary and document frequencies come from all rows. ``rows``: fit
+    the classifier on at most so many of them, those with the smallest hash of their text (default: all;
+    TREE_ROWS for tree models)."""
+    chosen = stored(train.select(text, label), "train")
     if rows is None and name in TREE_MODELS:
         rows = TREE_ROWS
-    if rows is not None:
-        chosen = chosen.orderBy(F.xxhash64(text), text, label).limit(rows)
-    return build_model(name, text, label, vocabulary_size).fit(stored(chosen, "train"))
+    if rows is None:
+        return build_model(name, text, label, vocabulary_size).fit(chosen)
+    features = Pipeline(stages=feature_stages(text, vocabulary_size)).fit(chosen)
+    bounded = stored(chosen.orderBy(F.xxhash64(text), text, label).limit(rows), "train-rows")
+    model = classifier(name, label).fit(features.transform(bounded))
+    return PipelineModel(stages=[*features.stages, model])
 
 
 @dataclass
