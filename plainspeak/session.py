@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
@@ -35,7 +36,7 @@ def build_session(name: str = "plainspeak", master: str | None = None, **conf) -
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where that is unset, a local session
-    gets a temporary one; any other session is refused."""
+    gets a temporary one; any other session, ``local-cluster`` included, is refused."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -44,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None and current is not None:
         folder = current
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):  # executors of local-cluster are processes of their own
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="plainspeak-")
     if current is None:
@@ -57,14 +58,14 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: cuts lineage,
     survives lost executors, and gives later joins real sizes. Inside ``scratch`` it is
-    removed at the end, else it stays for whoever holds the frame."""
+    removed at the end, else it stays for whoever holds the frame. ``options`` go to the writer."""
     path = work_path(df.sparkSession, name)
     if getattr(_scopes, "stack", None):
         _scopes.stack[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
