@@ -11,9 +11,6 @@ from plainspeak.llm import exact, mixing, packing, quality, simhash
 from plainspeak.llm.common import keep, table
 from plainspeak.llm.queries import MIX_SHARE, MIX_WEIGHTS, domain_of
 
-NEAR_WIDTH = 5
-NEAR_SIMILARITY = 0.8
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
@@ -26,8 +23,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    return simhash.drop_near_duplicates(docs, width=NEAR_WIDTH, similarity=NEAR_SIMILARITY)
+    """One document of each group of near duplicates: fingerprints of four-word shingles, four bits apart at most."""
+    return simhash.drop_near_duplicates(docs, width=simhash.WIDTH, budget=simhash.BUDGET)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
