@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, left_join_by_key, whole_text
+from .common import fresh, keep, left_join_by_key, whole_text
 
 SALTS = 16
 
@@ -87,15 +87,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text that occurs without an id only stays with one such row.
     """
     kept = exact_duplicates(docs, id_col, text_col).filter("kept")
-    kept = kept.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct()
-    marked = docs.withColumn("__mine", sha256(normalised(text_col)))
-    named = marked.join(
-        kept, (F.col(id_col) == F.col("__id")) & (F.col("__mine") == F.col("__digest")), "left_semi"
-    ).dropDuplicates([id_col, "__mine"])
+    name, mine = fresh("id", docs.columns), fresh("digest", docs.columns)
+    theirs = f"of_{mine}"
+    kept = kept.select(F.col(id_col).alias(f"of_{name}"), F.col("digest").alias(theirs)).distinct()
+    marked = docs.withColumn(mine, sha256(normalised(text_col)))
+    same = F.col(mine) == F.col(theirs)
+    named = marked.join(kept, (F.col(id_col) == F.col(f"of_{name}")) & same, "left_semi").dropDuplicates([id_col, mine])
     unnamed = marked.filter(F.col(id_col).isNull())
     if not unnamed.isEmpty():
-        lone = kept.filter("__id IS NULL")
-        named = named.unionByName(
-            unnamed.join(lone, F.col("__mine") == F.col("__digest"), "left_semi").dropDuplicates(["__mine"])
-        )
+        lone = kept.filter(F.col(f"of_{name}").isNull())
+        named = named.unionByName(unnamed.join(lone, same, "left_semi").dropDuplicates([mine]))
     return named.select(docs.columns)

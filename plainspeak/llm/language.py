@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import page_text
 from .common import keep, left_join_by_key, whole_text
+from .page_text import analyse, host_of
 
 BUCKETS = 1 << 14
 #: Labelled documents the text model is learned from, at most (those with the smallest hash of the id).
@@ -78,12 +78,12 @@ def _evidence(languages: list[str], model: np.ndarray):
             hosts, suffixes, declared, text = [], [], [], []
             for page, url in zip(batch.column("html"), batch.column("url")):
                 markup = page.as_py() or ""
-                host = page_text.host_of(url.as_py())
+                host = host_of(url.as_py())
                 hosts.append(host)
                 suffixes.append(host.rpartition(".")[2])
                 found = _DECLARED.search(markup)
                 declared.append(found[1].lower() if found else "")
-                body = " ".join(t for t, _ in page_text.analyse(markup)[2])
+                body = " ".join(t for t, _ in analyse(markup)[2])
                 score = TEMPER * (trigrams(body) @ model) if body else np.zeros(len(languages))
                 score = score - score.max()
                 text.append((score - math.log(np.exp(score).sum())).tolist())

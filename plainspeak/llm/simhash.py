@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import similar
-from .common import keep, left_join_by_key, whole_text
+from .common import fresh, keep, left_join_by_key, whole_text
 from .components import components
 
 WIDTH = 4
@@ -277,11 +276,11 @@ def _join_block(trie, node, fp, visitor, budget: int) -> tuple[np.ndarray, np.nd
 
 def _links(budget: int):
     """Rows sorted by (trie, node) to links; a node that several batches share is held until it ends."""
-    target = 1 << 16
+    least = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        rows = 0
+        rows, target = 0, least
 
         def columns():
             return [np.concatenate(x) for x in zip(*held)]
@@ -311,9 +310,7 @@ def _links(budget: int):
                 yield out([x[:cut] for x in block])
             held = [[x[cut:] for x in block]]
             rows = len(block[0]) - cut
-            target_now = max(1 << 16, 2 * rows)  # a node larger than a block: wait for its end
-            if rows >= target_now:
-                continue
+            target = max(least, 2 * rows)  # what is held is copied only when it has doubled
         if held and rows:
             yield out(columns())
 
@@ -358,55 +355,34 @@ def near_duplicates(
     )
 
 
-def _tagged(docs: DataFrame, text_col: str, width: int, similarity: float | None) -> DataFrame:
-    """``docs`` with ``__key``, the fingerprint, or with ``similarity`` the key of the shingle set and its
-    ``__buckets``."""
-    schema, at = T.StructType(list(docs.schema.fields)).add("__key", "long"), docs.columns.index(text_col)
-    if similarity is not None:
-        schema = schema.add("__buckets", T.ArrayType(T.LongType()))
+def _tagged(docs: DataFrame, text_col: str, width: int, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row as column ``name``."""
+    schema, at = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (t.as_py() or "" for t in batch.column(at))
-            if similarity is None:
-                keys, more = [fingerprint(t, width) for t in texts], []
-            else:
-                keys, spots = [], []
-                for t in texts:
-                    found = similar.hash_set(shingle_hashes(t, width))
-                    keys.append(similar.key(found))
-                    spots.append(similar.buckets(found))
-                more = [pa.array(spots, pa.list_(pa.int64()))]
-            signed = pa.array(np.array(keys, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, signed, *more], names=schema.names)
+            found = [fingerprint(t.as_py() or "", width) for t in batch.column(at)]
+            signed = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, signed], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def drop_near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = WIDTH,
-    budget: int = BUDGET,
-    similarity: float | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, budget: int = BUDGET
 ) -> DataFrame:
     """One row of ``docs`` for each component, all columns kept: the one with its smallest id.
 
-    Texts link if their fingerprints differ in at most ``budget`` bits; with ``similarity`` if the sets of
-    their shingles of ``width`` words have at least that Jaccard similarity instead (see ``similar``). Rows
-    that repeat an id are judged by their texts. Rows without an id stay, as no later step could name them.
+    Texts link if their fingerprints differ in at most ``budget`` bits. Rows that repeat an id are judged by
+    their fingerprints. Rows without an id stay, as no later step could name them.
     """
-    tagged = keep(_tagged(docs, text_col, width, similarity), "near-tagged")
+    key = fresh("fp", docs.columns)
+    tagged = keep(_tagged(docs, text_col, width, key), "near-tagged")
     named = tagged.filter(F.col(id_col).isNotNull())
-    keys = keep(tagged.groupBy("__key").agg(F.min(id_col).alias("least")), "near-keys")
-    if similarity is None:
-        found = links(keys.select(F.col("__key").alias("fp")), budget)
-    else:
-        found = similar.links(tagged, text_col, lambda text: shingle_hashes(text, width), similarity)
-    roots = components(keep(found, "near-links")).withColumnRenamed("node", "__key")
-    placed = keys.filter("least IS NOT NULL").join(roots, "__key", "left").withColumn("root", F.coalesce("root", "__key"))
-    first = placed.groupBy("root").agg(F.min(F.struct("least", "__key")).alias("first"))
-    first = first.select(F.col("first.least").alias(id_col), F.col("first.__key").alias("__key"))
-    kept = named.join(first, [id_col, "__key"], "left_semi").dropDuplicates([id_col, "__key"])
+    keys = keep(tagged.groupBy(F.col(key).alias("fp")).agg(F.min(id_col).alias("least")), "near-keys")
+    roots = components(keep(links(keys.select("fp"), budget), "near-links")).withColumnRenamed("node", "fp")
+    placed = keys.filter("least IS NOT NULL").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = placed.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("first"))
+    first = first.select(F.col("first.least").alias(id_col), F.col("first.fp").alias(key))
+    kept = named.join(first, [id_col, key], "left_semi").dropDuplicates([id_col, key])
     return kept.unionByName(tagged.filter(F.col(id_col).isNull())).select(docs.columns)
