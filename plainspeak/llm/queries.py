@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, neighbours, packing, page_text, pii, quality, secret_scan, simhash
+from . import exact, language, mixing, neighbours, packing, page_text, pii, prefix_trie, quality, secret_scan, simhash
 from .common import table
 
 QUERIES = {}
@@ -173,3 +173,62 @@ SELECT doc_id,
 FROM rows
 WINDOW same AS (PARTITION BY content)
 """
+
+
+@query
+def op12_prefix_trie(spark, folder):
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+ORACLE["op12_prefix_trie"] = """
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS s, 0 AS step, 4294967295::BIGINT AS r
+  FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL
+  SELECT c, s, step + 1,
+         CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (
+    SELECT c, s, step, CASE WHEN step % 8 = 0 THEN xor(r, ascii(s[step // 8 + 1])::BIGINT) ELSE r END AS x
+    FROM crc WHERE step < 8 * length(s)
+  )
+),
+convs AS (SELECT c, c - c % 100 AS base, xor(r, 4294967295) % 6 AS h FROM crc WHERE step = 8 * length(s)),
+own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+turns AS (
+  SELECT convs.c, 0 AS part, k, role, text FROM convs JOIN own ON own.c = convs.base AND k <= h
+  UNION ALL
+  SELECT convs.c, 1, k, role, text FROM convs JOIN own ON own.c = convs.c AND k > h
+),
+rows AS (
+  SELECT c, text, row_number() OVER w AS d, list({r: role, t: text}) OVER w AS node
+  FROM turns WINDOW w AS (PARTITION BY c ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT c, '', 0, [] FROM convs
+),
+places AS (SELECT c, d, text, min(c) OVER (PARTITION BY node, d) AS conv, max(d) OVER (PARTITION BY c) AS n FROM rows),
+nodes AS (
+  SELECT d, conv, count(*) AS n_convs, max(length(text)) AS chars,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends
+  FROM places GROUP BY d, conv
+),
+edges AS (
+  SELECT DISTINCT b.d, b.conv, a.conv AS up FROM places AS a JOIN places AS b ON a.c = b.c AND a.d + 1 = b.d
+),
+under AS (
+  SELECT DISTINCT a.d AS ad, a.conv AS aconv, b.d, b.conv FROM places AS a JOIN places AS b ON a.c = b.c AND a.d <= b.d
+),
+kids AS (SELECT d - 1 AS d, up AS conv, count(*) AS n FROM edges GROUP BY ALL),
+sums AS (
+  SELECT ad AS d, aconv AS conv, sum((n_convs - 1) * chars)::BIGINT AS saved,
+         count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM under JOIN nodes USING (d, conv) LEFT JOIN kids USING (d, conv) GROUP BY ad, aconv
+)
+SELECT conv AS conv_id, d AS depth, up AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, saved AS saved_tokens, ends AS ends_sha256
+FROM nodes JOIN sums USING (d, conv) LEFT JOIN kids USING (d, conv) LEFT JOIN edges USING (d, conv)
+"""
