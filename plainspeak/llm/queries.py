@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language, mixing, neighbours, packing, page_text, pii, prefix_trie, quality, secret_scan, simhash
+from . import collocations, exact, language, mixing, neighbours, packing, page_text, pii, prefix_trie, quality, secret_scan, simhash
 from .common import table
 
 QUERIES = {}
@@ -232,3 +232,58 @@ SELECT conv AS conv_id, d AS depth, up AS parent_conv_id, n_convs, coalesce(kids
        leaves AS n_leaves, saved AS saved_tokens, ends AS ends_sha256
 FROM nodes JOIN sums USING (d, conv) LEFT JOIN kids USING (d, conv) LEFT JOIN edges USING (d, conv)
 """
+
+
+@query
+def op13_collocations(spark, folder):
+    """The 2,000 best phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+),
+words AS (
+  SELECT lang, one, lead(one) OVER place AS two, lead(one, 2) OVER place AS three
+  FROM (
+    SELECT lang, piece, unnest(w) AS one, generate_subscripts(w, 1) AS i
+    FROM (SELECT lang, w, row_number() OVER () AS piece FROM pieces WHERE len(w) > 0)
+  ) WINDOW place AS (PARTITION BY piece ORDER BY i)
+),
+grams AS (
+  SELECT lang, 1 AS size, one AS phrase FROM words
+  UNION ALL
+  SELECT lang, 2, one || ' ' || two FROM words WHERE two IS NOT NULL
+  UNION ALL
+  SELECT lang, 3, one || ' ' || two || ' ' || three FROM words WHERE three IS NOT NULL
+),
+counts AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND a >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.size, c.a, k, x.a AS l, y.a AS r,
+         (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) AS c
+  JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
+  JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, phrase, max(a) AS most
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE size = 3)
+  GROUP BY ALL
+),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest LEFT JOIN around USING (lang, phrase) WHERE size = 3 OR most IS NULL OR 100 * most < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
