@@ -265,15 +265,19 @@ grams AS (
   UNION ALL
   SELECT lang, 3, one || ' ' || two || ' ' || three FROM words WHERE three IS NOT NULL
 ),
-counts AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+counts AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
-candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND a >= 10),
+candidates AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND a >= 10),
+parts AS MATERIALIZED (
+  SELECT lang, phrase, size, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+),
 cuts AS (
   SELECT c.lang, c.phrase, c.size, c.a, k, x.a AS l, y.a AS r,
          (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) AS c
-  JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:k], ' ')
-  JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+  FROM parts AS c
+  JOIN counts AS x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN counts AS y ON y.lang = c.lang AND y.phrase = c.rest
 ),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 around AS (
