@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, left_join_by_key, whole_text
@@ -36,9 +36,9 @@ SAMPLE_LEAST = 2
 #: Bits of a bit map (a power of two); a documented bound on what is broadcast, 8 MB a map.
 BITS = 26
 #: Bytes of text counted at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Bytes that wait in all languages' blocks together.
-WAITING = 1 << 24
+WAITING = 1 << 22
 UNKNOWN = "und"
 MAX_PASSES = 20
 
@@ -63,36 +63,48 @@ def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
+def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All ``data[start:end]`` after one another."""
+    size = ends - starts
+    shift = np.repeat(starts - (np.cumsum(size) - size), size)
+    return data[shift + np.arange(len(shift))]
+
+
 class _Block:
     """Counts of one block of folded bytes of one language; ``skip`` leading words were counted before."""
 
     def __init__(self, raw: bytes, lang: str, skip: int):
         data = np.frombuffer(raw, np.uint8)
-        self.raw, self.skip = raw, skip
-        self.starts, self.ends = bounds((data != 32) & (data != 10))
-        self.hashes = word_hashes(data, self.starts, self.ends, _seed(lang))
-        line = np.cumsum(data == 10)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        starts, ends = bounds((data != 32) & (data != 10))
+        line = np.cumsum(data == 10)[starts] if len(starts) else np.zeros(0, np.int64)
+        self.skip, self.breaks_after = skip, b"\n" in (raw[ends[-1] :] if len(ends) else raw)
         self.near = line[1:] == line[:-1]
+        # The words with one blank after each: every phrase is a slice.
+        self.data = _slices(np.append(data, np.uint8(32)), starts, ends + 1)
+        self.data[np.cumsum(ends - starts + 1) - 1] = 32
+        self.ends = np.cumsum(ends - starts + 1) - 1
+        self.starts = self.ends - (ends - starts)
+        self.hashes = word_hashes(self.data, self.starts, self.ends, _seed(lang))
         _, self.first, self.ids = np.unique(self.hashes, return_index=True, return_inverse=True)
 
     def word(self, i: int) -> bytes:
-        return self.raw[self.starts[i] : self.ends[i]]
+        return self.data[self.starts[i] : self.ends[i]].tobytes()
+
+    def _phrases(self, at: np.ndarray, size: int) -> pa.Array:
+        starts, ends = self.starts[at], self.ends[at + size - 1]
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
+        body = _slices(self.data, starts, ends)
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(body)).cast(pa.string())
 
     def words(self):
-        ids = self.ids[self.skip :]
-        counts = np.bincount(ids, minlength=len(self.first))
+        counts = np.bincount(self.ids[self.skip :], minlength=len(self.first))
         seen = np.flatnonzero(counts)
-        starts, ends = self.starts[self.first[seen]].tolist(), self.ends[self.first[seen]].tolist()
-        return [self.raw[a:b] for a, b in zip(starts, ends)], counts[seen]
+        return self._phrases(self.first[seen], 1), counts[seen]
 
     def _grams(self, codes: np.ndarray, at: np.ndarray, size: int):
         """Distinct codes of the phrases that begin at words ``at``, as (texts, counts)."""
         _, first, counts = np.unique(codes, return_index=True, return_counts=True)
-        at = at[first]
-        begin, end = self.starts, self.ends
-        raw = self.raw
-        parts = [[raw[a:b] for a, b in zip(begin[at + j].tolist(), end[at + j].tolist())] for j in range(size)]
-        return [b" ".join(x) for x in zip(*parts)], counts
+        return self._phrases(at[first], size), counts
 
     def pairs(self, let_in: np.ndarray):
         at = np.flatnonzero(self.near & let_in)
@@ -143,29 +155,30 @@ def _cut(lang: str, raw: bytes) -> Iterator[tuple[str, _Block]]:
         yield lang, block
         tail = [block.word(i) for i in range(max(0, len(block.starts) - 2), len(block.starts))]
         glue = b" " if len(tail) < 2 or block.near[-1] else b"\n"
-        after = block.raw[block.ends[-1] :] if len(block.ends) else block.raw
-        head = glue.join(tail) + (b"\n" if b"\n" in after else b" ")
+        head = glue.join(tail) + (b"\n" if block.breaks_after else b" ")
         at = end
 
 
-def _rows(lang: str, size: int, found) -> pa.RecordBatch:
+def _rows(lang: str, found) -> pa.RecordBatch:
     texts, counts = found
-    n = len(texts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)),
-         pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string()), pa.array(np.asarray(counts, np.int64))],
-        names=["lang", "size", "phrase", "n"],
-    )
+    langs = pa.DictionaryArray.from_arrays(np.zeros(len(texts), np.int32), [lang]).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, texts, pa.array(np.asarray(counts, np.int64))], names=["lang", "phrase", "n"])
+
+
+_COUNTS = "lang string, phrase string, n long"
 
 
-_COUNTS = "lang string, size int, phrase string, n long"
+def _size() -> Column:
+    """Words of a phrase; the empty one, which stands for all words, has none."""
+    blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    return F.when(F.col("phrase") == "", 0).otherwise(blanks + 1)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, block in _blocks(batches):
-        yield _rows(lang, 1, block.words())
+        yield _rows(lang, block.words())
         if len(block.near):
-            yield _rows(lang, 2, block.pairs(np.ones(len(block.near), bool)))
+            yield _rows(lang, block.pairs(np.ones(len(block.near), bool)))
 
 
 def _counted(maps, first: bool):
@@ -176,15 +189,15 @@ def _counted(maps, first: bool):
         for lang, block in _blocks(batches):
             if first:
                 found = block.words()
-                yield _rows(lang, 1, found)
-                yield _rows(lang, 0, ([b""], [int(found[1].sum())]))
+                yield _rows(lang, found)
+                yield _rows(lang, (pa.array([""]), [int(found[1].sum())]))
             if len(block.near):
                 w, old = _inside(words, block.hashes), _inside(old_words, block.hashes)
-                yield _rows(lang, 2, block.pairs(w[:-1] & w[1:] & ~(old[:-1] & old[1:])))
+                yield _rows(lang, block.pairs(w[:-1] & w[1:] & ~(old[:-1] & old[1:])))
             if len(block.near) > 1:
                 hashes = block.pair_hashes()
                 p, old = _inside(pairs, hashes), _inside(old_pairs, hashes)
-                yield _rows(lang, 3, block.triples(p[:-1] & p[1:] & ~(old[:-1] & old[1:])))
+                yield _rows(lang, block.triples(p[:-1] & p[1:] & ~(old[:-1] & old[1:])))
 
     return run
 
@@ -222,14 +235,16 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
     ``least`` occurrences, exactly counted; with size 0 the number of words of a language."""
     spark = docs.sparkSession
     some = docs.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(sample)) == 0)
-    seen = some.mapInArrow(_sampled, _COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    seen = some.mapInArrow(_sampled, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    seen = seen.withColumn("size", _size())
     now = _bit_maps(seen.filter(F.col("n") >= min(SAMPLE_LEAST, least)))
     before = {k: np.zeros_like(v) for k, v in now.items()}
     found = None
     for pass_ in range(MAX_PASSES):
         maps = spark.sparkContext.broadcast((now[1], now[2], before[1], before[2]))
-        counted = docs.mapInArrow(_counted(maps, pass_ == 0), _COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-        counted = keep(counted.filter((F.col("n") >= least) | (F.col("size") == 0)), "mining-pass")
+        counted = docs.mapInArrow(_counted(maps, pass_ == 0), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        counted = counted.filter((F.col("n") >= least) | (F.col("phrase") == ""))
+        counted = keep(counted.withColumn("size", _size()), "mining-pass")
         maps.unpersist()
         found = counted if found is None else found.unionByName(counted)
         more = _bit_maps(counted.filter("size > 0"))
