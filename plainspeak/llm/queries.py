@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, exact, language, mixing, neighbours, packing, page_text, pii, prefix_trie, quality, secret_scan, simhash
+from . import collocations, exact, language, mixing, neighbours, packing, page_text, pii, prefix_trie, quality, repeats, secret_scan, simhash
 from .common import table
 
 QUERIES = {}
@@ -175,6 +175,12 @@ WINDOW same AS (PARTITION BY content)
 """
 
 
+@query
+def op11_repeats(spark, folder):
+    """Words of every document that stay when repeated passages are removed."""
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op12_prefix_trie(spark, folder):
     """Every node of the trie of rebuilt conversations."""
