@@ -16,19 +16,16 @@ def confusion_matrix(
     """A row for every class (true), a count for every class (predicted). Classes are 0, 1, 2 and
     whatever else occurs as label or as prediction. Rows without a label or a prediction aren't counted."""
     counts = (
-        pairs.select(F.col(label).cast("int").alias(label), F.col(prediction).cast("int").alias("said"))
-        .filter(F.col(label).isNotNull() & F.col("said").isNotNull())
-        .groupBy(label, "said")
-        .agg(F.count("*").alias("n"))
+        pairs.select(F.col(label).cast("int").alias("own"), F.col(prediction).cast("int").alias("said"))
+        .filter("own IS NOT NULL AND said IS NOT NULL")
+        .groupBy("own", "said")
+        .count()
     )
-    seen = counts.select(F.explode(F.array(label, "said")).alias("c")).distinct().collect()  # the classes
-    classes = sorted({*CLASSES, *[r["c"] for r in seen]})
-    codes = pairs.sparkSession.createDataFrame([(c,) for c in classes], f"{label} int")
-    said = [
-        F.coalesce(F.sum(F.when(F.col("said") == c, F.col("n"))), F.lit(0)).alias(f"predicted_{c}".replace("-", "minus_"))
-        for c in classes
-    ]
-    return codes.join(counts, label, "left").groupBy(label).agg(*said).orderBy(label)
+    found = {(r[0], r[1]): r[2] for r in counts.collect()}  # one row a pair of classes
+    classes = sorted({*CLASSES, *[c for pair in found for c in pair]})
+    names = [f"predicted_{c}".replace("-", "minus_") for c in classes]
+    rows = [(c, *[found.get((c, said), 0) for said in classes]) for c in classes]
+    return pairs.sparkSession.createDataFrame(rows, ", ".join([f"`{label}` int", *[f"{n} long" for n in names]])).coalesce(1)
 
 
 def _hit(right: Column, label: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IDF, CountVectorizer, Tokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Tokenizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +28,9 @@ VECTOR_MODELS = ("word_vectors",)
 
 #: CountVectorizer's own limit on the number of words, for all models alike; a parameter of ``fit``.
 VOCABULARY_SIZE = 262_144
-# Tree learners hold a bin number for every feature of every row, present or not, so a row costs
-# four bytes a vocabulary word. The tree alone is fitted on at most so many
-# labelled rows; words and document frequencies are those of all rows.
-TREE_ROWS = 600
+# Tree learners hold a bin number for every feature of every row, present or not, so a row costs four bytes a
+# feature. Trees see the so many words that tell the classes apart best; the rows are all labelled ones.
+TREE_TERMS = 1_024
 TREE_MODELS = ("decision_tree", "random_forest")
 
 
@@ -44,9 +43,36 @@ def feature_stages(text: str = "text_clean", vocabulary_size: int = VOCABULARY_S
     ]
 
 
-def classifier(name: str, label: str = "label_id", inputs: int | None = None):
+def telling_terms(docs: DataFrame, vocabulary: list[str], label: str, terms: int, words: str = "words") -> list[int]:
+    """Places in ``vocabulary`` of the ``terms`` words whose presence in a document depends most on its class, by the
+    chi-square statistic; ties go to the more frequent word, then to the alphabet.
+
+    Documents with a word are counted by class in one grouped aggregation over all rows. The vocabulary is
+    broadcast (CountVectorizer holds it on the driver as well: VOCABULARY_SIZE words at most).
+    """
+    spark = docs.sparkSession
+    classes = {r[0]: r[1] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    total = sum(classes.values())
+    known = spark.createDataFrame(list(enumerate(vocabulary)), "place int, word string")
+    hits = [F.count_if(F.col("class") == c).alias(f"n_{i}") for i, c in enumerate(classes)]
+    counted = (
+        docs.select(F.col(label).alias("class"), F.explode(F.array_distinct(words)).alias("word"))
+        .groupBy("word")
+        .agg(F.count("class").alias("n"), *hits)
+        .join(F.broadcast(known), "word")
+    )
+    score = F.lit(0.0)
+    for i, size in enumerate(classes.values()):
+        for seen, rows in ((F.col(f"n_{i}"), F.col("n")), (size - F.col(f"n_{i}"), total - F.col("n"))):
+            expected = rows * F.lit(size / total)
+            score = score + F.when(expected > 0, (seen - expected) * (seen - expected) / expected).otherwise(0.0)
+    best = counted.orderBy(F.round(score, 9).desc(), F.desc("n"), "word").limit(terms)
+    return sorted(r["place"] for r in best.select("place").collect())
+
+
+def classifier(name: str, label: str = "label_id", inputs: int | None = None, features: str = "features"):
     """The classifier of a model name, with the settings the moderation models use."""
-    common = {"featuresCol": "features", "labelCol": label}
+    common = {"featuresCol": features, "labelCol": label}
     if name == "logistic_regression":
         return LogisticRegression(**common)
     if name == "naive_bayes":
@@ -75,21 +101,26 @@ def build_model(
 
 def fit(
     name: str, train: DataFrame, text: str = "text_clean", label: str = "label_id",
-    vocabulary_size: int = VOCABULARY_SIZE, rows: int | None = None,
+    vocabulary_size: int = VOCABULARY_SIZE, rows: int | None = None, terms: int = TREE_TERMS,
 ) -> PipelineModel:
     """Fit on a cleaned, labelled corpus. The iterative optimisers read it many times, so
-    it is written once and read back. Vocabulary and document frequencies come from all rows. ``rows``: fit
-    the classifier on at most so many of them, those with the smallest hash of their text (default: all;
-    TREE_ROWS for tree models)."""
+    it is written once and read back. Vocabulary and document frequencies come from all rows. Trees are grown
+    on the ``terms`` words that tell the classes apart best. ``rows``: fit the classifier on at most so
+    many rows, those with the smallest hash of their text (default: all)."""
     chosen = stored(train.select(text, label), "train")
-    if rows is None and name in TREE_MODELS:
-        rows = TREE_ROWS
-    if rows is None:
+    if rows is None and name not in TREE_MODELS:
         return build_model(name, text, label, vocabulary_size).fit(chosen)
     features = Pipeline(stages=feature_stages(text, vocabulary_size)).fit(chosen)
-    bounded = stored(chosen.orderBy(F.xxhash64(text), text, label).limit(rows), "train-rows")
-    model = classifier(name, label).fit(features.transform(bounded))
-    return PipelineModel(stages=[*features.stages, model])
+    stages, seen = list(features.stages), "features"
+    if name in TREE_MODELS:
+        words = features.stages[0].transform(chosen)
+        places = telling_terms(words, features.stages[1].vocabulary, label, terms)
+        stages.append(VectorSlicer(inputCol="features", outputCol="telling_features", indices=places))
+        seen = "telling_features"
+    if rows is not None:
+        chosen = stored(chosen.orderBy(F.xxhash64(text), text, label).limit(rows), "train-rows")
+    prepared = stored(PipelineModel(stages=stages).transform(chosen).select(seen, label), "train-features")
+    return PipelineModel(stages=[*stages, classifier(name, label, features=seen).fit(prepared)])
 
 
 @dataclass
