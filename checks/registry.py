@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plainspeak.functions import labels
 from plainspeak.functions import text as X
-from plainspeak.operators import ids, metrics, pages, panels, phrases, splits, stop_words, tfidf
+from plainspeak.operators import ids, metrics, pages, panels, phrases, segmentation, splits, stop_words, tfidf
 from plainspeak.operators.frames import compute_once
 from plainspeak.operators.vocabulary import embedding_matrix, encode, fit_vocabulary, pool_vectors
 from plainspeak.plans import cleaning, training
@@ -259,6 +259,14 @@ def preprocess_phrases(spark, folder):
     return cleaned.select("doc_id", F.col("comment_clean").alias("text_clean"))
 
 
+@query
+def segment_words(spark, folder):
+    """Every cleaned document divided into words of one or more syllables, the words learned from all of them."""
+    docs = t.stored_corpus(spark, folder)
+    model = segmentation.fit_words(docs, "text_clean")
+    return segmentation.segment_texts(docs, model, "doc_id", "text_clean")
+
+
 # --- scores and panels ---------------------------------------------------------------
 
 
