@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as characters
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -24,12 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, left_join_by_key
 
-#: A subtree is a template if it occurs on at least so many different pages of the host, and on at
-#: least this share of them.
+#: A subtree is a template if it occurs on at least so many different pages of the host, however large that is.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.05
 
 # --- fixed values: HTML's own element kinds, and words that sites use ---------------
 
@@ -93,6 +92,12 @@ def parse(page: str) -> Node:
     nodes and decoded strings."""
     root = Node("#page", {})
     stack, at = [root], 0
+    open_ = Counter()  # open elements by tag: what isn't open needn't be looked for
+
+    def close(i: int) -> None:
+        open_.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -103,18 +108,18 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i].tag not in INLINE:
                     break  # the end of an inline element doesn't end blocks
             continue
         ends, beyond = ENDS.get(tag, (None, None))
-        if ends:
+        if ends and any(open_[t] for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in beyond:
                     break
@@ -128,13 +133,13 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
+        if tag in RAW or tag not in VOID:
             stack.append(node)
-        elif tag not in VOID:
-            stack.append(node)
+            open_[tag] += 1
     return root
 
 
-def _furniture(node: Node, in_article: bool) -> bool:
+def _furniture(node: Node, in_article: bool, holders: set[int]) -> bool:
     """Whether markup declares the element to be no part of an article."""
     tag, a = node.tag, node.attributes
     if tag in NEVER or tag == "header" and not in_article:
@@ -145,7 +150,7 @@ def _furniture(node: Node, in_article: bool) -> bool:
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    return any(x.lower() in NAMES for x in _NAME.findall(a.get("class", "") + " " + a.get("id", ""))) and not _has_article(node)
+    return any(x.lower() in NAMES for x in _NAME.findall(a.get("class", "") + " " + a.get("id", ""))) and id(node) not in holders
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -156,8 +161,13 @@ def _walk(node: Node) -> Iterator[Node]:
         stack += [c for c in reversed(n.children) if isinstance(c, Node)]
 
 
-def _has_article(node: Node) -> bool:
-    return any(n.tag in ("article", "main") for n in _walk(node) if n is not node)
+def _holders(root: Node) -> set[int]:
+    """Elements with an article or main element inside, by identity."""
+    found: set[int] = set()
+    for n in reversed(list(_walk(root))):  # children before parents
+        if any(isinstance(c, Node) and (c.tag in ("article", "main") or id(c) in found) for c in n.children):
+            found.add(id(n))
+    return found
 
 
 def _hashes(root: Node) -> dict[int, int]:
@@ -189,14 +199,17 @@ def analyse(page: str) -> tuple[int, list[int], list[tuple[str, list[int]]]]:
             around.add(id(n))
     seen = sorted({hashes[id(n)] for n in _walk(root) if id(n) not in around and n.tag not in RAW and n.tag not in VOID})
 
+    holders = _holders(root)
     for wanted in ("article", "main", None):
-        blocks = _blocks(root, wanted, hashes, around)
+        blocks = _blocks(root, wanted, hashes, around, holders)
         if blocks:
             break
     return hashes[id(root)], seen, blocks
 
 
-def _blocks(root: Node, wanted: str | None, hashes: dict[int, int], around: set[int]) -> list[tuple[str, list[int]]]:
+def _blocks(
+    root: Node, wanted: str | None, hashes: dict[int, int], around: set[int], holders: set[int]
+) -> list[tuple[str, list[int]]]:
     """Text blocks in page order, from within ``wanted`` elements (None: from anywhere)."""
     blocks: list[tuple[str, list[int]]] = []
     text: list[str] = []
@@ -205,7 +218,11 @@ def _blocks(root: Node, wanted: str | None, hashes: dict[int, int], around: set[
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            blocks.append((line, list(chain)))
+            hold = []
+            while chain:  # (hash, chain around it)
+                hold.append(chain[0])
+                chain = chain[1]
+            blocks.append((line, hold[::-1]))
 
     # (node, within wanted, only headings, chain) to enter; (None, ...) ends a block element
     stack = [(root, wanted is None, False, ())]
@@ -218,7 +235,7 @@ def _blocks(root: Node, wanted: str | None, hashes: dict[int, int], around: set[
         if node is None:
             flush(chain)
             continue
-        if _furniture(node, inside and wanted is not None):
+        if _furniture(node, inside and wanted is not None, holders):
             if node.tag not in INLINE:
                 text.append(" ")
             continue
@@ -233,7 +250,7 @@ def _blocks(root: Node, wanted: str | None, hashes: dict[int, int], around: set[
         if block:
             flush(chain)
         prose = wanted is not None and (node.tag in PROSE or not block)
-        down = chain if id(node) in around or prose else (*chain, hashes[id(node)])
+        down = chain if id(node) in around or prose else (hashes[id(node)], chain)
         if block:
             stack.append((None, mine, headings, down))
         stack += [(c, mine, headings, down) for c in reversed(node.children)]
@@ -279,18 +296,16 @@ def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def templates(analysed: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash) of subtrees on many different pages of their host. Counting is combined in the map
-    tasks; what a third of all pages share is one row a task."""
+def templates(analysed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(at: host and hash, pages) of subtrees on many different pages of their host. Counting is combined in the
+    map tasks; what a third of all pages share is one row a task."""
     pages = analysed.groupBy("host", "page").agg(F.first("seen").alias("seen"))
-    sizes = analysed.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    found = (
+    return (
         pages.select("host", F.explode("seen").alias("hash"))
-        .groupBy("host", "hash")
+        .groupBy(F.struct("host", "hash").alias("at"))
         .agg(F.count(F.lit(1)).alias("pages"))
         .filter(F.col("pages") >= least_pages)
     )
-    return found.join(sizes, "host").filter(F.col("pages") >= least_share * F.col("n")).select("host", "hash")
 
 
 def extract(
@@ -299,7 +314,6 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     least_pages: int = LEAST_PAGES,
-    least_share: float = LEAST_SHARE,
 ) -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
@@ -315,15 +329,12 @@ def extract(
         "texts array<string>, chains array<array<bigint>>"
     )
     analysed = keep(rows.mapInArrow(_analysed, schema), "html-analysed")
-    common = keep(templates(analysed, least_pages, least_share), "html-templates")
+    common = keep(templates(analysed, least_pages), "html-templates")
     inside = F.array_distinct(F.flatten("chains"))
     at_risk = analysed.filter(F.size(inside) > 0)
-    hits = (
-        at_risk.select("row", "host", F.explode(inside).alias("hash"))
-        .join(common, ["host", "hash"])
-        .groupBy("row")
-        .agg(F.collect_list("hash").alias("gone"))  # no more than the page's own elements
-    )
+    held = keep(at_risk.select("row", "host", F.explode(inside).alias("hash")).select("row", F.struct("host", "hash").alias("at")), "html-inside")
+    found = left_join_by_key(held, common, "at", "pages").filter("pages IS NOT NULL")  # a template of a hot host is hot
+    hits = found.groupBy("row").agg(F.collect_list("at.hash").alias("gone"))  # no more than the page's own elements
     safe = analysed.filter(F.size(inside) == 0).select("id", "url", _joined(F.col("texts")).alias("text"))
     left = F.transform(
         F.filter(F.arrays_zip("texts", "chains"), lambda b: ~F.arrays_overlap(b["chains"], F.col("gone"))),

@@ -14,6 +14,7 @@ characters. Texts in which no transducer would write anything are searched once
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -193,12 +194,15 @@ def spelled_digits(tape: Tape) -> Tape:
     return tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
 
 
-_OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_AT = rf"{_OPEN}(?:at|@){_CLOSE}|[ \t]+at[ \t]+|[ \t]*@[ \t]*"
-_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|[ \t]+dot[ \t]+"
+# A run of blanks is tried from its first one only: a text padded with a million of them is read once.
+_BLANKS = r"(?<![ \t])[ \t]"
+_OPEN, _CLOSE = rf"{_BLANKS}*[\[({{<][ \t]*", r"[ \t]*[\])}>][ \t]*"
+_AT = rf"{_OPEN}(?:at|@){_CLOSE}|{_BLANKS}+at[ \t]+|{_BLANKS}*@[ \t]*"
+_DOT = rf"{_OPEN}(?:dot|\.){_CLOSE}|{_BLANKS}+dot[ \t]+"
 _ADDRESS = re.compile(rf"({_AT})([A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+)", re.I)
 _DOTS = re.compile(_DOT, re.I)
-_DOT_BEFORE = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:{_DOT})(?=[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@)", re.I)
+_LOCAL_DOT = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?=({_DOT})[A-Za-z0-9_%+-])", re.I)
+_LOCAL_PART = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOT_DIGITS = re.compile(rf"(?<=[0-9])(?:{_DOT})(?=[0-9])", re.I)
 _BRACKETS = re.compile(r"[\[({<][ \t]*(?:at|dot|@|\.)[ \t]*[\])}>]", re.I)
 
@@ -214,11 +218,13 @@ def at_dot(tape: Tape) -> Tape:
             pieces.append((m.start(1), m.end(1), "@"))
         pieces += [(d.start(), d.end(), ".") for d in dots]
     tape = tape.rewrite(pieces)
-    while True:  # "first dot last@": from the @ to the left
-        dots = [(m.start(), m.end(), ".") for m in _DOT_BEFORE.finditer(tape.text)]
-        if not dots:
-            break
-        tape = tape.rewrite(dots)
+    text, dots, begins = tape.text, [], set()
+    for m in reversed(list(_LOCAL_DOT.finditer(text))):  # "first dot last@": from the @ to the left
+        after = _LOCAL_PART.match(text, m.end(1)).end()
+        if text[after : after + 1] == "@" or after in begins:
+            dots.append((m.start(1), m.end(1), "."))
+            begins.add(m.start(1))
+    tape = tape.rewrite(dots[::-1])
     return tape.rewrite([(m.start(), m.end(), ".") for m in _DOT_DIGITS.finditer(tape.text)])
 
 
@@ -254,7 +260,8 @@ def disguised(text: str, known: list[list[tuple[int, int]]]) -> list[list[tuple[
     found = []
     for spans, old in zip(plain(tape.text), known):
         mine = [(int(tape.start[a]), int(tape.end[b - 1])) for a, b in spans]
-        found.append([(a, b) for a, b in mine if not any(x <= a and b <= y for x, y in old)])
+        begins = [x for x, _ in old]  # in order, without overlap
+        found.append([(a, b) for a, b in mine if not (i := bisect.bisect_right(begins, a)) or old[i - 1][1] < b])
     return found
 
 

@@ -180,6 +180,9 @@ def candidates(index: DataFrame, queries: list[list[frozenset[str]] | None]) ->
     return met.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("mask"))
 
 
+#: Matches whose places are added up at once.
+RUN = 256
+
 # --- verification -------------------------------------------------------------------
 
 
@@ -193,7 +196,7 @@ def _matches(text: Column, rule: Rule, number: int) -> Column:
         F.transform(whole, F.length).alias("size"),
         F.transform(checked, F.length).alias("part"),
     )
-    none = F.expr("struct(0 AS at, CAST(array() AS array<struct<start:int,k:int,end:int>>) AS out)")
+    none = F.expr("CAST(array() AS array<struct<start:int,k:int,end:int>>)")
 
     def step(done, x):
         begin = done["at"] + x["gap"]
@@ -202,7 +205,15 @@ def _matches(text: Column, rule: Rule, number: int) -> Column:
         good = x["size"].isNotNull() & (x["part"] >= rule.least)
         return F.struct(stop.alias("at"), F.when(good, F.concat(done["out"], here)).otherwise(done["out"]).alias("out"))
 
-    return F.aggregate(found, none, step, lambda done: done["out"])
+    # Adding to an array copies it, so places are added up run by run and the runs put together at the end.
+    def run_step(done, run):
+        mine = F.aggregate(run, F.struct(done["at"].alias("at"), none.alias("out")), step)
+        return F.struct(mine["at"].alias("at"), F.concat(done["runs"], F.array(mine["out"])).alias("runs"))
+
+    last = F.floor((F.size(found) - 1) / RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i * RUN + 1, F.lit(RUN)))
+    begin = F.struct(F.lit(0).alias("at"), F.array(none).alias("runs"))
+    return F.aggregate(runs, begin, run_step, lambda done: F.flatten(done["runs"]))
 
 
 def spans(rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
