@@ -206,10 +206,15 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases of one or two words to their place in the bit map of their size."""
     for batch in batches:
         out = np.zeros(len(batch), np.uint64)
-        for i, (lang, phrase) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())):
-            data = np.frombuffer(phrase.encode("utf-8", "surrogatepass"), np.uint8)
-            h = word_hashes(data, *bounds(data != 32), _seed(lang))
-            out[i] = h[0] if len(h) == 1 else _pair_hash(h[:1], h[1:])[0]
+        langs = batch.column("lang").dictionary_encode()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            mine = np.flatnonzero(langs.indices.to_numpy() == code)
+            texts, two = batch.column("phrase").take(pa.array(mine)), batch.column("size").to_numpy()[mine] == 2
+            data = np.frombuffer("\n".join(texts.to_pylist()).encode("utf-8", "surrogatepass"), np.uint8)
+            h = word_hashes(data, *bounds((data != 32) & (data != 10)), _seed(lang))
+            first = np.cumsum(two + 1) - two - 1  # of its words
+            out[mine] = h[first]
+            out[mine[two]] = _pair_hash(h[first[two]], h[first[two] + 1])
         place = (out >> np.uint64(64 - BITS)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column("size"), pa.array((place >> 5).astype(np.int32)), pa.array(np.left_shift(1, place & 31))],
