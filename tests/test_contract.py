@@ -22,7 +22,8 @@ def connection():
 
 def test_every_sql_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(QUERIES) == set(ORACLE)
+    # The word model is fitted by expectation steps; tests/test_segmentation.py checks all documents in plain Python.
+    assert set(QUERIES) - {"segment_words"} == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in MODELS])
