@@ -346,6 +346,22 @@ FROM corpus c JOIN normal n USING (doc_id) JOIN events e ON e.event_id = c.doc_i
 SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) FILTER (prediction = 0) AS clean,
   count(*) FILTER (prediction = 1) AS offensive, count(*) FILTER (prediction = 2) AS hate
 FROM live GROUP BY date_trunc('minute', ts)""",
+    "stream_timeline": f"""WITH {LABELS}, span AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events),
+live AS (
+  SELECT e.event_id, e.ts, date_trunc('minute', e.ts) AS minute, coalesce(l.label_id, 0) AS prediction,
+    (4 * (epoch_us(e.ts) - first)) // (last - first + 1) + (e.event_id % 10 = 3)::INT AS part
+  FROM events e CROSS JOIN span LEFT JOIN class_labels l ON e.event_id = l.doc_id),
+newest AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM live GROUP BY part),
+judged AS (
+  SELECT live.*, coalesce(minute + INTERVAL 1 MINUTE <= newest - INTERVAL 3 DAY, false) AS late
+  FROM live JOIN newest USING (part)),
+told AS (
+  SELECT 'in time' AS kind, NULL::BIGINT AS event_id, minute, prediction FROM judged WHERE NOT late
+  UNION ALL SELECT 'all', NULL, minute, prediction FROM judged
+  UNION ALL SELECT 'late', event_id, minute, prediction FROM judged WHERE late)
+SELECT kind, event_id, CAST(minute AS TIMESTAMP) AS minute, count(*) FILTER (prediction = 0) AS clean,
+  count(*) FILTER (prediction = 1) AS offensive, count(*) FILTER (prediction = 2) AS hate
+FROM told GROUP BY kind, event_id, minute""",
     "stream_users": """SELECT count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS count_user, true AS near FROM events""",
     **{
         key: f"""WITH {CORPUS}, {LABELLED}

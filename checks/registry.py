@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from plainspeak.sources import comments as capture
 from plainspeak.sources import corpus as corpora
 from plainspeak.streaming import aggregates, sinks
 from plainspeak.streaming.board import Board
+from plainspeak.streaming.timeline import Timeline
 
 from . import tables as t
 
@@ -445,6 +447,26 @@ def stream_label_by_minute(spark, folder):
     return sinks.run_to_table(counts, "stream-minutes", "complete")
 
 
+@query
+def stream_timeline(spark, folder):
+    """Minutes of the rows in time, rows too late for the policy, and both together."""
+    line = Timeline(spark, work_path(spark, "timeline"), delay=timedelta(days=3))
+    t.arrivals(spark, folder, lambda stream: sinks.finish(line.start(stream, every=None)))
+    counts = ["minute", "clean", "offensive", "hate"]
+    one = [F.count_if(F.col("prediction") == code).alias(name) for code, name in enumerate(counts[1:])]
+    kinds = {"in time": line.minutes(), "all": line.minutes(with_late=True)}
+    result = None
+    for kind, frame in kinds.items():
+        rows = frame.select(F.lit(kind).alias("kind"), F.lit(None).cast("bigint").alias("event_id"), *counts)
+        result = rows if result is None else result.unionByName(rows)
+    late = line.late_rows()
+    if late is None:
+        return result
+    minute = F.date_trunc("minute", "event_time").alias("minute")
+    rows = late.groupBy("event_id", minute).agg(*one).withColumn("kind", F.lit("late"))
+    return result.unionByName(rows)
+
+
 @query
 def stream_users(spark, folder):
     """The sketch after the last batch next to the exact number, and whether it is within three times

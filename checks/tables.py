@@ -176,20 +176,40 @@ def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as scored comments: the class comes from the labels table."""
+    known = class_labels(spark, folder).select(
+        F.col("doc_id").alias("event_id"), F.col("label_id").alias("prediction")
+    )
+    stamp = F.col("ts").cast("timestamp")
+    return table(spark, folder, "events").join(known, "event_id", "left").select(
+        "event_id",
+        (F.unix_micros(stamp) / 1e6).alias("timestamp"),
+        F.col("user_id").cast("string").alias("user"),
+        F.col("event_type").alias("comment"),
+        F.coalesce("prediction", F.lit(0)).alias("prediction"),
+    )
+
+
+_EVENT_FIELDS = "event_id bigint, prediction int"
 
-    def rows():
-        known = class_labels(spark, folder).select(
-            F.col("doc_id").alias("event_id"), F.col("label_id").alias("prediction")
-        )
-        stamp = F.col("ts").cast("timestamp")
-        return table(spark, folder, "events").join(known, "event_id", "left").select(
-            "event_id",
-            (F.unix_micros(stamp) / 1e6).alias("timestamp"),
-            F.col("user_id").cast("string").alias("user"),
-            F.col("event_type").alias("comment"),
-            F.coalesce("prediction", F.lit(0)).alias("prediction"),
-        )
-
-    return _stream(spark, folder, "event-inbox", rows, "event_id bigint, prediction int")
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return _stream(spark, folder, "event-inbox", lambda: scored_events(spark, folder), _EVENT_FIELDS)
+
+
+def arrivals(spark: SparkSession, folder: str, deliver) -> None:
+    """Events as they would come in: a quarter of the time span after the other, each tenth event a quarter
+    late. Every part is added to an inbox, then ``deliver(stream over the inbox)`` takes in what is new."""
+    rows = scored_events(spark, folder)
+    first, last = table(spark, folder, "events").agg(
+        F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))
+    ).first()
+    if first is None:
+        return
+    part = F.expr(f"(4 * (unix_micros(timestamp_seconds(timestamp)) - {first})) div {last - first + 1}")
+    rows = rows.withColumn("part", part + (F.col("event_id") % 10 == 3).cast("int"))
+    inbox, fields = work_path(spark, "arrivals"), T._parse_datatype_string(_EVENT_FIELDS)
+    for k in range(5):
+        write_comments(rows.filter(F.col("part") == k), inbox, extra=fields)
+        deliver(stream_comments(spark, inbox, extra=fields))

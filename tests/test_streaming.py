@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 import uuid
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from plainspeak.plans.cleaning import clean_comments
 from plainspeak.sources.comments import read_comments, stream_comments
 from plainspeak.streaming import aggregates, sinks
 from plainspeak.streaming.board import SCORED, Board
+from plainspeak.streaming.timeline import Timeline
 
 
 def add_files(folder, first, count, user=None):
@@ -220,3 +223,82 @@ def test_follow(spark, tmp_path):
     shown = []
     sinks.follow(query, lambda: shown.append(query.isActive), seconds=0.2)
     assert not query.isActive and spark.read.parquet(str(tmp_path / "out" / "table")).count() == 3
+
+
+def minute_rows(spark, rows):
+    """Rows of (id, seconds or None, prediction)."""
+    frame = spark.createDataFrame(rows, "id int, seconds double, prediction int")
+    return frame.select("id", F.timestamp_seconds("seconds").alias("event_time"), "prediction")
+
+
+def expected_minutes(batches, delay):
+    """Plain Python: (minute -> counts), ids left out."""
+    newest, counts, late = None, {}, []
+    for rows in batches:
+        for number, seconds, prediction in rows:
+            minute = None if seconds is None else int(seconds // 60)
+            if minute is None or (newest is not None and (minute + 1) * 60 <= newest - delay):
+                late.append(number)
+                continue
+            counts.setdefault(minute, [0, 0, 0])
+            if prediction in (0, 1, 2):
+                counts[minute][prediction] += 1
+        newest = max([s for _, s, _ in rows if s is not None] + ([] if newest is None else [newest]), default=None)
+    return counts, sorted(late)
+
+
+def shown_minutes(frame):
+    columns = [F.unix_seconds("minute").alias("s"), "clean", "offensive", "hate"]
+    return {r[0] // 60: list(r[1:]) for r in frame.select(*columns).collect()}
+
+
+@pytest.mark.parametrize("merge_every", [100, 2])
+def test_timeline_with_late_rows(spark, tmp_path, merge_every):
+    rng = random.Random(7)
+    batches, number = [], 0
+    for i in range(7):
+        rows = []
+        for _ in range(25):
+            number += 1
+            seconds = None if rng.random() < 0.05 else 600.0 * i + rng.choice([0.0, 60.0, -1200.0, 59.999, 240.5]) + 3600
+            rows.append((number, seconds, rng.choice([0, 1, 2, None])))
+        batches.append([] if i == 3 else rows)
+    line = Timeline(spark, str(tmp_path / "line"), timedelta(minutes=10), merge_every)
+    assert line.minutes().count() == 0 and line.late_rows() is None
+    for i, rows in enumerate(batches):
+        batch = minute_rows(spark, rows)
+        line.deliver(batch, i)
+        if i % 2:
+            line.deliver(batch, i)  # delivered again
+        counts, late = expected_minutes(batches[: i + 1], 600)
+        assert shown_minutes(line.minutes()) == counts
+        assert sorted(r["id"] for r in line.late_rows().collect()) == late if late else line.late_rows() is None
+    assert late and {r["reason"] for r in line.late_rows().collect()} == {"late", "no time"}
+    line.deliver(minute_rows(spark, batches[2]), 2)  # long past
+    assert shown_minutes(line.minutes()) == counts
+    everything = {}
+    for rows in batches:
+        for _, seconds, prediction in rows:
+            if seconds is not None:
+                kept = everything.setdefault(int(seconds // 60), [0, 0, 0])
+                if prediction is not None:
+                    kept[prediction] += 1
+    assert shown_minutes(line.minutes(with_late=True)) == everything
+    kept = lambda name: len(list((tmp_path / "line" / name).iterdir()))
+    assert kept("open") == 2 and kept("closed") <= (7 if merge_every == 100 else 5)
+
+
+def test_timeline_crash_before_the_entry(spark, tmp_path):
+    """Tables without an entry are not read, and the delivery that follows replaces them."""
+    line = Timeline(spark, str(tmp_path / "line"))
+    first = minute_rows(spark, [(1, 0.0, 0), (2, 5000.0, 1)])
+    line.deliver(first, 0)
+    half = minute_rows(spark, [(3, 10.0, 2), (4, 5001.0, 2)])
+    line.deliver(half, 1)
+    entry = next(p for p in (tmp_path / "line" / "log").iterdir() if p.name.startswith(f"{1:012d}"))
+    entry.rmdir()
+    assert shown_minutes(line.minutes()) == {0: [1, 0, 0], 83: [0, 1, 0]} and line.late_rows() is None
+    line.deliver(half, 1)
+    assert shown_minutes(line.minutes()) == {0: [1, 0, 0], 83: [0, 1, 1]}
+    assert [r["id"] for r in line.late_rows().collect()] == [3]
+    assert shown_minutes(line.minutes(with_late=True)) == {0: [1, 0, 1], 83: [0, 1, 1]}
