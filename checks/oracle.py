@@ -346,6 +346,11 @@ FROM corpus c JOIN normal n USING (doc_id) JOIN events e ON e.event_id = c.doc_i
 SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP) AS minute, count(*) FILTER (prediction = 0) AS clean,
   count(*) FILTER (prediction = 1) AS offensive, count(*) FILTER (prediction = 2) AS hate
 FROM live GROUP BY date_trunc('minute', ts)""",
+    "users_by_range": """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS d, user_id FROM events WHERE ts IS NOT NULL)
+SELECT CAST(d - i::INT AS DATE) AS first_day, count(DISTINCT user_id) + max((user_id IS NULL)::INT) AS count_user, true AS near
+FROM days, range(7) AS t(i) GROUP BY 1""",
+    "top_words_sketch": f"""WITH {COMMENTS}
+SELECT text, size, true AS within FROM ({_word_cloud('comments', 'comment')})""",
     "stream_timeline": f"""WITH {LABELS}, span AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events),
 live AS (
   SELECT e.event_id, e.ts, date_trunc('minute', e.ts) AS minute, coalesce(l.label_id, 0) AS prediction,

@@ -54,3 +54,15 @@ def drop_repeats(comments: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """
     marked = comments.withWatermark("event_time", delay)
     return marked.dropDuplicatesWithinWatermark(["user", "comment"])
+
+
+def new_users(scored: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """minute, user: each user once a minute, at the first row that names it there. Exact counts of any range
+    are distinct users over its minutes. State: the pairs of minutes the watermark has not passed; rows
+    behind it are dropped, as are rows without a time."""
+    return (
+        scored.withWatermark("event_time", delay)
+        .select(F.window("event_time", "1 minute").alias("w"), "user")
+        .dropDuplicates(["w", "user"])
+        .select(F.col("w.start").alias("minute"), "user")
+    )
