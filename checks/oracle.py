@@ -351,6 +351,10 @@ SELECT CAST(d - i::INT AS DATE) AS first_day, count(DISTINCT user_id) + max((use
 FROM days, range(7) AS t(i) GROUP BY 1""",
     "top_words_sketch": f"""WITH {COMMENTS}
 SELECT text, size, true AS within FROM ({_word_cloud('comments', 'comment')})""",
+    "stream_bad_records": """SELECT CASE WHEN event_id % 50 <> 7 THEN event_id END AS event_id,
+  CASE WHEN event_id % 50 <> 7 THEN CAST(user_id AS VARCHAR) END AS "user", CASE WHEN event_id % 50 <> 7 THEN event_type END AS comment,
+  CASE WHEN event_id % 50 = 7 THEN '{"event_id": ' || event_id END AS line, true AS inbox_empty FROM events""",
+    "stream_progress": "SELECT count(*) AS rows, true AS several FROM events",
     "stream_timeline": f"""WITH {LABELS}, span AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events),
 live AS (
   SELECT e.event_id, e.ts, date_trunc('minute', e.ts) AS minute, coalesce(l.label_id, 0) AS prediction,

@@ -17,12 +17,13 @@ from plainspeak.operators.frames import compute_once
 from plainspeak.operators.vocabulary import embedding_matrix, encode, fit_vocabulary, pool_vectors
 from plainspeak.plans import cleaning, training
 from plainspeak.plans.scoring import from_scores
-from plainspeak.session import stored, work_path
-from plainspeak.sources import artifacts, lists
+from plainspeak.session import folder_names, stored, work_path
+from plainspeak.sources import artifacts, intake, lists
 from plainspeak.sources import comments as capture
 from plainspeak.sources import corpus as corpora
 from plainspeak.streaming import aggregates, sinks
 from plainspeak.streaming.board import Board
+from plainspeak.streaming.progress import ProgressLog
 from plainspeak.streaming.summaries import Summaries
 from plainspeak.streaming.timeline import Timeline
 
@@ -516,6 +517,40 @@ def top_words_sketch(spark, folder):
     return exact.join(about, "text", "left").select("text", "size", F.coalesce(within, F.lit(False)).alias("within"))
 
 
+@query
+def stream_bad_records(spark, folder):
+    """Events as JSON lines, each fiftieth cut off: records, dead letters, and whether the inbox is empty after."""
+    inbox, out, archive = (work_path(spark, name) for name in ("bad-inbox", "bad-taken", "bad-archive"))
+    fields = F.struct("event_id", "user", "comment", F.col("timestamp").cast("string").alias("timestamp"))
+    cut = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))
+    line = F.when(F.col("event_id") % 50 == 7, cut).otherwise(F.to_json(fields))
+    lines = t.scored_events(spark, folder).repartition(t.STREAM_FILES, "event_id").select(line.alias("value"))
+    lines.write.text(inbox)
+    stream = intake.stream_inbox(
+        spark, inbox, archive, 1, t.T._parse_datatype_string("event_id bigint")
+    )
+    intake.take_all(stream, out, archive)
+    empty = not [n for n in folder_names(spark, inbox) if n.startswith("part-")]
+    none = F.lit(None).cast("string")
+    records = intake.taken(stream, out).select("event_id", "user", "comment", none.alias("line"))
+    broken = intake.dead_letters(stream, out).select(
+        F.lit(None).cast("bigint").alias("event_id"), none.alias("user"), none.alias("comment"), F.col("broken").alias("line")
+    )
+    return records.unionByName(broken).withColumn("inbox_empty", F.lit(empty))
+
+
+@query
+def stream_progress(spark, folder):
+    """Rows that the micro-batches of a query reported, and whether there were several."""
+    out = work_path(spark, "progress")
+    name = out.rsplit("/", 1)[1]
+    with ProgressLog(spark, f"{out}/log", {name}) as log:
+        running = sinks.append_table(t.event_stream(spark, folder), out, every=None, name=name)
+        sinks.finish(running)
+        log.wait(running)
+    return log.table().agg(F.sum("rows").alias("rows"), (F.count_distinct("batch") > 1).alias("several"))
+
+
 @query
 def stream_dedup(spark, folder):
     """The delay spans the whole table, so each pair of user and comment passes once."""

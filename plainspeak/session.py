@@ -97,6 +97,15 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    """Rename within one store, making the folders above; what is gone already is no error."""
+    system, place = _file_system(spark, path)
+    if system.exists(place):
+        goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+        system.mkdirs(goal.getParent())
+        system.rename(place, goal)
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     system, place = _file_system(spark, path)
     system.mkdirs(place)
