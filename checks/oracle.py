@@ -355,6 +355,8 @@ SELECT text, size, true AS within FROM ({_word_cloud('comments', 'comment')})"""
   CASE WHEN event_id % 50 <> 7 THEN CAST(user_id AS VARCHAR) END AS "user", CASE WHEN event_id % 50 <> 7 THEN event_type END AS comment,
   CASE WHEN event_id % 50 = 7 THEN '{"event_id": ' || event_id END AS line, true AS inbox_empty FROM events""",
     "stream_progress": "SELECT count(*) AS rows, true AS several FROM events",
+    "id_log_bucketed": f"""WITH {_LINKS}
+SELECT id, min(CASE WHEN page_id % 3 < 2 THEN 0 ELSE 1 END) = 1 AS is_new FROM link_ids GROUP BY id""",
     "stream_timeline": f"""WITH {LABELS}, span AS (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events),
 live AS (
   SELECT e.event_id, e.ts, date_trunc('minute', e.ts) AS minute, coalesce(l.label_id, 0) AS prediction,

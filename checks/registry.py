@@ -14,6 +14,7 @@ from plainspeak.operators import (
     ids, metrics, pages, panels, phrases, segmentation, sketches, splits, stop_words, tfidf,
 )
 from plainspeak.operators.frames import compute_once
+from plainspeak.operators.id_log import IdLog
 from plainspeak.operators.vocabulary import embedding_matrix, encode, fit_vocabulary, pool_vectors
 from plainspeak.plans import cleaning, training
 from plainspeak.plans.scoring import from_scores
@@ -697,6 +698,17 @@ def id_log(spark, folder):
     return ids.unseen_ids(linked, lists.read_ids(spark, path))
 
 
+@query
+def id_log_bucketed(spark, folder):
+    """The same through a growing log in buckets: what two of three parts added, and what of all ids is new then."""
+    linked = stored(pages.link_ids(t.table(spark, folder, "pages")), "linked")
+    log = IdLog(spark, work_path(spark, "idlog").rsplit("/", 1)[1].replace("-", "_"))
+    for part in (0, 1):
+        log.add_unseen(linked.filter(F.col("page_id") % 3 == part), lambda rows: stored(rows, "fresh"))
+    added = log.table().withColumn("is_new", F.lit(False))
+    return added.unionByName(log.unseen(linked).withColumn("is_new", F.lit(True)))
+
+
 @query
 def first_ids(spark, folder):
     """The first hundred ids by name: that limit is the operator's feature."""
