@@ -3,16 +3,17 @@
 A document's strength is linear in features of its text. Of a preference pair (a document labelled
 good, one labelled bad) the good one wins with probability sigmoid(strength difference); the weights
 minimise the logistic loss on the feature differences of such pairs. The threshold is a quantile of
-the strengths of the labelled rows: the share of bad ones among them falls below it.
+the strengths of all labelled rows: the share of bad ones among them falls below it.
 
-The fit takes at most ``fit_rows`` labelled rows (those with the smallest hash of their id), so what
-reaches the driver has a bound. Every document is scored, from its whole text and nothing else.
+The fit of the weights takes at most ``fit_rows`` labelled rows (those with the smallest hash of their id),
+so what reaches the driver has a bound; share and quantile are counted by Spark over every labelled row.
+Every document is scored, from its whole text and nothing else.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -21,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import keep, whole_text
 
 FIT_ROWS = 12_000
+#: The quantile is exact to so many parts of the labelled rows.
+QUANTILE_PARTS = 1_000_000
 #: Opponents of each row of the smaller class.
 OPPONENTS = 24
 L2 = 1e-3
@@ -147,7 +150,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: st
     found = rows.join(F.broadcast(chosen), "id")  # at most fit_rows rows
     frame = _with_features(found.select("id", "text", "quality"), "quality").orderBy(F.xxhash64("id"), "quality").collect()
     x = np.array([r["features"] for r in frame]).reshape(-1, len(FEATURES))
-    return fit_pairs(x, np.array([r["quality"] == 1 for r in frame], bool))
+    model = fit_pairs(x, np.array([r["quality"] == 1 for r in frame], bool))
+    if model.weight.any():
+        model.threshold = _threshold(rows, usable.filter(~held_out(F.col("id"))), model)
+    return model
+
+
+def _threshold(rows: DataFrame, labelled: DataFrame, model: Model) -> float:
+    """The strength that the share of bad rows cuts off, between two rows, from all labelled ones."""
+    ranked = keep(_by_text(rows, model.strength, "strength").join(labelled, "id").select("strength", "quality"), "quality-ranked")
+    n, bad = ranked.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 0)).first()
+    ends = F.array(F.lit((bad - 0.5) / n), F.lit((bad + 0.5) / n))
+    return sum(ranked.agg(F.percentile_approx("strength", ends, QUANTILE_PARTS)).first()[0]) / 2
 
 
 def _with_features(rows: DataFrame, extra: str) -> DataFrame:
@@ -173,20 +187,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     an id get a row each. An empty table gives an empty result. Other columns are ignored. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+    return _by_text(rows, model.score, "score").select(
+        F.col("id").alias(id_col),
+        held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
+    )
+
+
+def _by_text(rows: DataFrame, value: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """``rows(id, text)`` to id and ``value`` of the text's features, as column ``name``."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column("text")]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(x))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(value(x))], names=["id", name])
 
-    scored = rows.mapInArrow(run, f"id {kind}, score double")
-    return scored.select(
-        F.col("id").alias(id_col),
-        held_out(F.col("id")).alias("held_out"),
-        "score",
-        (F.col("score") >= ACCEPT).cast("int").alias("predicted"),
-    )
+    return rows.mapInArrow(run, f"id {kind}, {name} double")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

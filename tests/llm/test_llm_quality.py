@@ -58,6 +58,18 @@ def test_odd_rows(spark):
     assert quality.score(llm_cases.none(spark), quality.fit(llm_cases.none(spark), labels(spark, []))).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_threshold_is_that_of_all_labelled_rows(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    known = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = quality.fit(docs, known, fit_rows=150)
+    rows = docs.join(known, "doc_id").filter("quality IS NOT NULL").filter(~quality.held_out(docs["doc_id"])).collect()
+    assert len(rows) > 200
+    ranked = np.sort(model.strength(np.array([quality.features(r["text"] or "") for r in rows])))
+    bad = sum(r["quality"] == 0 for r in rows)
+    assert model.threshold == pytest.approx((ranked[bad - 1] + ranked[bad]) / 2, abs=1e-12)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
