@@ -384,6 +384,21 @@ FROM labelled JOIN corpus USING (doc_id) WHERE text_clean <> '' AND "set" = 'Tes
             "model_rf": "random_forest", "model_mlp": "word_vectors",
         }.items()
     },
+    "model_epochs": f"""WITH {CORPUS}, {LABELLED}
+SELECT count(*) AS dev_rows, 3 AS epochs, true AS same_after_stop, true AS best_is_least
+FROM labelled JOIN corpus USING (doc_id) WHERE text_clean <> '' AND "set" = 'Dev'""",
+    "model_array": f"""WITH {VOCABULARY}, {LABELLED}, ending AS (
+  SELECT t.doc_id, v.idx FROM tokens t JOIN vocabulary v USING (word)
+  QUALIFY row_number() OVER (PARTITION BY t.doc_id ORDER BY t.pos DESC) <= 100),
+weights AS (
+  SELECT idx, 1000 * count(*) FILTER (label_id = 0) // count(*) AS w0,
+    1000 * count(*) FILTER (label_id = 1) // count(*) AS w1, 1000 * count(*) FILTER (label_id = 2) // count(*) AS w2
+  FROM ending JOIN labelled USING (doc_id) WHERE "set" = 'Train' AND idx < 10000 GROUP BY idx),
+summed AS (
+  SELECT c.doc_id, coalesce(sum(w0), 0) AS s0, coalesce(sum(w1), 0) AS s1, coalesce(sum(w2), 0) AS s2
+  FROM corpus c LEFT JOIN ending e ON c.doc_id = e.doc_id LEFT JOIN weights w ON e.idx = w.idx GROUP BY c.doc_id)
+SELECT doc_id, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS prediction,
+  s0 || ',' || s1 || ',' || s2 AS scores FROM summed""",
     "csv_corpus": """SELECT 'say "a, b"' || chr(10) || text AS free_text,
   CASE WHEN doc_id % 5 < 3 THEN CAST(doc_id % 5 AS INTEGER) END AS label_id FROM documents""",
     "stop_word_file": f"SELECT DISTINCT unnest({_words('text')}) AS word FROM benchmark",

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import uuid
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainspeak.functions import labels
 from plainspeak.functions import text as X
+from plainspeak.functions.fixed_values import VECTOR_VOCABULARY_LIMIT
 from plainspeak.operators import (
     ids, metrics, pages, panels, phrases, segmentation, sketches, splits, stop_words, tfidf,
 )
@@ -17,7 +22,8 @@ from plainspeak.operators.frames import compute_once
 from plainspeak.operators.id_log import IdLog
 from plainspeak.operators.vocabulary import embedding_matrix, encode, fit_vocabulary, pool_vectors
 from plainspeak.plans import cleaning, training
-from plainspeak.plans.scoring import from_scores
+from plainspeak.plans.epochs import fit_epochs
+from plainspeak.plans.scoring import from_scores, shipped_model
 from plainspeak.session import folder_names, stored, work_path
 from plainspeak.sources import artifacts, intake, lists
 from plainspeak.sources import comments as capture
@@ -653,6 +659,60 @@ def model_mlp(spark, folder):
     )
 
 
+@query
+def model_epochs(spark, folder):
+    """The dense classifier fitted in epochs: straight, and stopped after the first epoch and taken up again."""
+    data = t.spread(stored(t.labelled_corpus(spark, folder), "labelled"), "doc_id")
+    train = data.filter(F.col("set") == "Train")
+    features = training.VectorFeatures.fit(train, t.word_vectors(spark, folder), "doc_id", "text_clean", t.VECTOR_SIZE)
+    parts = {
+        part: stored(features.transform(data.filter(F.col("set") == part), "doc_id", "text_clean"), f"part-{part}")
+        for part in ("Train", "Dev")
+    }
+    inputs, paths = 2 * t.VECTOR_SIZE, [work_path(spark, "epochs") for _ in range(2)]
+    straight = fit_epochs(parts["Train"], parts["Dev"], paths[0], inputs, epochs=3)
+    fit_epochs(parts["Train"], parts["Dev"], paths[1], inputs, epochs=1)
+    resumed = fit_epochs(parts["Train"], parts["Dev"], paths[1], inputs, epochs=3)
+    again = training.validate(straight.model, parts["Dev"]).first()["loss"]
+    both = straight.history.join(resumed.history.withColumnRenamed("loss", "other"), "epoch")
+    near = F.coalesce(F.abs(F.col("loss") - F.col("other")) < 1e-6, F.col("loss").isNull() & F.col("other").isNull())
+    least = F.coalesce(F.abs(F.min("loss") - F.lit(again)) < 1e-9, F.lit(again is None))
+    told = both.agg(F.count(F.lit(1)).alias("epochs"), F.every(near).alias("same_after_stop"), least.alias("best_is_least"))
+    return parts["Dev"].agg(F.count(F.lit(1)).alias("dev_rows")).join(F.broadcast(told))
+
+
+@query
+def model_array(spark, folder):
+    """Every document encoded and scored by an array model from a file: the class shares, in thousandths, of the
+    words in the training rows, summed over the encoded words."""
+    docs = t.stored_corpus(spark, folder)
+    vocabulary = fit_vocabulary(docs, "doc_id", "text_clean")
+    encoded = stored(encode(docs, vocabulary, "doc_id", "text_clean"), "encoded")
+    train = encoded.join(t.labelled(spark, folder).filter(F.col("set") == "Train"), "doc_id")
+    seen = train.select("label_id", F.explode("encoded").alias("idx")).filter(f"idx > 0 AND idx < {VECTOR_VOCABULARY_LIMIT}")
+    shares = [F.expr(f"1000 * count_if(label_id = {c}) div count(*)").alias(f"w{c}") for c in (0, 1, 2)]
+    weights = np.zeros((VECTOR_VOCABULARY_LIMIT, 3), np.int64)
+    for r in seen.groupBy("idx").agg(*shares).collect():  # fewer rows than VECTOR_VOCABULARY_LIMIT
+        weights[r["idx"]] = r["w0"], r["w1"], r["w2"]
+    path = os.path.join(tempfile.mkdtemp(prefix="plainspeak-"), f"shares-{uuid.uuid4().hex}.npy")
+    np.save(path, weights)
+
+    def load(local):
+        known = np.load(local)
+
+        def predict(batch):
+            ids = np.asarray(batch).astype(np.int64)
+            return known[np.where(ids < len(known), ids, 0)].sum(axis=1).astype(np.float32)
+
+        return predict
+
+    scored = shipped_model(spark, path, load, encoded="encoded")(encoded)
+    return scored.select(
+        "doc_id", labels.argmax("scores").alias("prediction"),
+        _joined(F.transform("scores", lambda s: s.cast("int"))).alias("scores"),
+    )
+
+
 # --- sources and sinks, there and back -------------------------------------------------------------
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkFiles
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,3 +44,19 @@ def array_model(
         input_tensor_shapes=[[length]],
     )
     return lambda frame: frame.withColumn("scores", predict(F.col(encoded)))
+
+
+def shipped_model(
+    spark: SparkSession, path: str, load: Callable[[str], Callable], encoded: str = "comment_encoded",
+    length: int = 100, batch_size: int = 256,
+) -> Callable[[DataFrame], DataFrame]:
+    """``array_model`` of a model file. Spark copies the file to each executor once; ``load(local path)`` runs
+    once a worker and returns what ``make_predict`` would. A session knows files by name, so each
+    version of a model needs a name of its own. ``path``: a file of the driver, or in any store Spark reads."""
+    spark.sparkContext.addFile(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+
+    def make_predict():
+        return load(SparkFiles.get(name))
+
+    return array_model(make_predict, encoded, length, batch_size)
