@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..session import stored
 from .frames import compute_once
+from .numbering import number_rows
 
 LONGEST = 4
 LEAST = 5
@@ -48,6 +50,11 @@ class WordModel:
     unknown: int
     longest: int
 
+    @cached_property
+    def beginnings(self) -> set[str]:
+        """What a word of several syllables may begin with. Made where it is used, not shipped."""
+        return {w[:k] for w in self.costs for k, c in enumerate(w) if c == "_"}
+
     @classmethod
     def of_counts(cls, counts: dict[str, float], longest: int) -> WordModel:
         total = sum(counts.values()) or 1.0
@@ -55,24 +62,29 @@ class WordModel:
         return cls(costs, round(-math.log(0.5 / max(total, 1.0)) * MICRO), longest)
 
 
-def _runs(syllables: list[str], end: int, model: WordModel) -> Iterator[tuple[int, str, int]]:
-    """(start, word, cost) of the words that may end at ``end``, the longest first."""
-    for start in range(max(0, end - model.longest), end):
-        word = "_".join(syllables[start:end])
-        cost = model.costs.get(word)
-        if cost is None and end - start == 1:
-            cost = model.unknown
-        if cost is not None:
-            yield start, word, cost
+def _ways(syllables: list[str], model: WordModel) -> list[list[tuple[int, str, int]]]:
+    """(start, word, cost) of the words that may end after each syllable, the longest first."""
+    costs, beginnings, n = model.costs, model.beginnings, len(syllables)
+    ways: list[list[tuple[int, str, int]]] = [[] for _ in range(n)]
+    for start, word in enumerate(syllables):
+        ways[start].append((start, word, costs.get(word, model.unknown)))
+        for end in range(start + 1, min(n, start + model.longest)):
+            if word not in beginnings:
+                break
+            word = f"{word}_{syllables[end]}"
+            cost = costs.get(word)
+            if cost is not None:
+                ways[end].append((start, word, cost))
+    return ways
 
 
 def segment(syllables: list[str], model: WordModel) -> list[str]:
     """The cheapest division of one text."""
     best: list[tuple[int, int]] = [(0, 0)]
     back: list[tuple[int, str]] = [(0, "")]
-    for end in range(1, len(syllables) + 1):
+    for ways in _ways(syllables, model):
         now = None
-        for start, word, cost in _runs(syllables, end, model):
+        for start, word, cost in ways:
             found = (best[start][0] + cost, best[start][1] + 1)
             if now is None or found < now:
                 now, way = found, (start, word)
@@ -90,36 +102,38 @@ def expected_counts(syllables: list[str], model: WordModel, into: dict[str, floa
     """Adds the expected number of each word over all divisions of one text. Sums are scaled at each place, so
     that long texts don't vanish."""
     n = len(syllables)
-    ways = [[(s, w, math.exp(-c / MICRO)) for s, w, c in _runs(syllables, e, model)] for e in range(1, n + 1)]
-    scale, forward = [1.0] * (n + 1), [1.0] + [0.0] * n
-
-    def weight(start: int, end: int, p: float) -> float:
-        for k in range(start + 1, end + 1):
-            p /= scale[k]
-        return p
-
-    for end in range(1, n + 1):
-        scale[end] = 1.0
-        total = sum(forward[s] * weight(s, end, p) for s, _, p in ways[end - 1])
-        scale[end], forward[end] = total, 1.0
-    backward = [0.0] * n + [1.0]
+    scale, backward = [1.0] * (n + 1), [0.0] * n + [1.0]
+    steps: list[list[tuple[int, str, float]]] = []
+    for end, ways in enumerate(_ways(syllables, model), 1):
+        found = []
+        for start, word, cost in ways:
+            p = math.exp(-cost / MICRO)
+            for k in range(start + 1, end):
+                p /= scale[k]
+            found.append((start, word, p))
+        total = scale[end] = sum(p for _, _, p in found)
+        steps.append([(start, word, p / total) for start, word, p in found])
     for end in range(n, 0, -1):
-        for start, _, p in ways[end - 1]:
-            backward[start] += weight(start, end, p) * backward[end]
+        for start, _, p in steps[end - 1]:
+            backward[start] += p * backward[end]
     for end in range(1, n + 1):
-        for start, word, p in ways[end - 1]:
-            into[word] = into.get(word, 0.0) + weight(start, end, p) * backward[end]
+        for start, word, p in steps[end - 1]:
+            into[word] = into.get(word, 0.0) + p * backward[end]
+
 
+def _counted(shared):
+    """Sums of the words of the model; syllables it doesn't know stay in the task."""
 
-def _counted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, listed = shared.value
         for batch in batches:
             sums: dict[str, int] = {}
             for syllables in batch.column("w").to_pylist():
                 mine: dict[str, float] = {}
-                expected_counts(syllables or [], model.value, mine)
+                expected_counts(syllables or [], model, mine)
                 for word, x in mine.items():
-                    sums[word] = sums.get(word, 0) + round(x * MICRO)
+                    if word in listed:
+                        sums[word] = sums.get(word, 0) + round(x * MICRO)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"]
             )
@@ -166,14 +180,19 @@ def fit_words(
     rows = stored(compute_once(docs.select(text), "w", X.words(F.coalesce(text, F.lit("")))).select("w"), "syllables")
     runs = F.flatten(F.array(*[_runs_of(n) for n in range(1, longest + 1)]))
     seen = rows.select(F.inline(runs)).groupBy("word", "size").agg(F.count(F.lit(1)).alias("n"))
-    kept = seen.filter((F.col("n") >= least) | (F.col("size") == 1)).orderBy(F.desc("n"), "size", "word").limit(most)
-    found = kept.collect()  # at most ``most`` rows
-    sizes, first = {r["word"]: r["size"] for r in found}, {r["word"]: r["n"] for r in found}
+    kept = seen.filter((F.col("n") >= least) | (F.col("size") == 1))
+    # Sorted and numbered in tasks: a limit behind a sort would have the driver merge ``most`` rows of every task.
+    placed = number_rows(kept, [F.desc("n"), F.asc("size"), F.asc("word")], "place")
+    found = placed.filter(F.col("place") <= most).toArrow().sort_by("place")  # at most ``most`` rows
+    words, numbers = found["word"].to_pylist(), found["n"].to_pylist()
+    sizes, first = dict(zip(words, found["size"].to_pylist())), dict(zip(words, numbers))
     model = WordModel.of_counts({w: float(first[w]) for w in cohesive(first, sizes)}, longest)
+    listed = frozenset(sizes)
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast((model, listed))
         sums = rows.mapInArrow(_counted(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counts = {r["word"]: r["n"] / MICRO for r in sums.collect() if r["word"] in sizes}  # words of the model only
+        table = sums.toArrow()  # at most ``most`` rows
+        counts = {w: n / MICRO for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist())}
         model = WordModel.of_counts({w: n for w, n in counts.items() if n >= least or sizes[w] == 1}, longest)
         shared.unpersist()
     return model

@@ -120,3 +120,20 @@ def test_all_documents_against_plain_python(spark):
     texts = {r["doc_id"]: r["text_clean"] for r in tables.corpus(spark, FOLDER).collect()}
     model = plain_fit(texts.values(), S.LONGEST, S.LEAST, S.ROUNDS)
     assert got == {k: " ".join(S.segment(t.split(), model)) for k, t in texts.items()}
+
+
+def test_driver_gets_at_most_the_words_of_the_model(spark, monkeypatch):
+    kind, got = type(spark.range(1)), []
+    for name in ("collect", "toArrow"):
+        plain = getattr(kind, name)
+
+        def counted(self, plain=plain):
+            found = plain(self)
+            got.append(len(found))
+            return found
+
+        monkeypatch.setattr(kind, name, counted)
+    docs = spark.createDataFrame([(i, f"rare{i} a b") for i in range(200)], "id long, t string")
+    model = S.fit_words(docs, "t", most=3)
+    assert set(model.costs) == {"a", "b"}  # the run of both is no likelier than chance
+    assert max(n for n in got if n) <= 8  # of the model's words, or task sizes; never the 202 syllables
