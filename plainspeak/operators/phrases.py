@@ -10,11 +10,12 @@ their Compositionality" (2013).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import stored
+from .blocks import rewrite_texts
 from .frames import compute_once
 from .lookup import look_up
 
@@ -60,53 +61,42 @@ def fit_phrases(
     return counted.select("a", "b", "n", score.alias("score")).filter(F.col("score") > threshold)
 
 
-def join_phrases(docs: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+def _pairs(words: list[str]) -> set[str]:
+    return set(map("{} {}".format, words, words[1:]))
+
+
+def _joined(texts: list[list[str]], linked: dict[str, bool]) -> str:
+    """One text (the texts of a repeated key word by word beside one another) with its linked pairs joined."""
+    words = [
+        (i, w, t[i + 1] if i + 1 < len(t) else None) for t in texts for i, w in enumerate(t)
+    ]
+    if len(texts) > 1:
+        words.sort(key=lambda x: x[0])
+    pieces, last_break, taken = [], -1, False
+    for i, word, after in words:
+        link = after is not None and f"{word} {after}" in linked
+        if not link:
+            last_break = i
+        # Place within the run of linked pairs: 1, 2, 3, ...; odd places are joined.
+        joined = link and (i - last_break) % 2 == 1
+        if not taken:
+            pieces.append((i, f"{word}_{after}" if joined else word))
+        taken = joined
+    if len(texts) > 1:
+        pieces.sort(key=lambda x: (x[0], x[1].encode("utf-8", "surrogatepass")))
+    return " ".join([x for _, x in pieces])
+
+
+def join_phrases(
+    docs: DataFrame, lexicon: DataFrame, key: str, text: str, budget: int | None = None
+) -> DataFrame:
     """Columns: key, text, with lexicon pairs joined by ``_``, left to right, a word in at
     most one pair; other words separated by one space. ``key`` is unique.
 
     In a run of consecutive lexicon pairs every second one is joined, starting with the
-    first. Runs are found with windows over one document. Texts are shuffled before they
-    are taken apart: that moves a text once, not a row a word.
+    first. Texts stay whole (``blocks.rewrite_texts``): a block asks for its distinct pairs once, and
+    only pairs of the lexicon come back. ``docs`` and ``lexicon`` are read more than once. A lexicon of at most
+    ``budget`` bytes is broadcast.
     """
-    words = compute_once(docs.select(key, text).repartition(key), "w", X.words(text))
-    pair_key = F.concat_ws(" ", "word", "next")
-    placed = words.select(
-        key,
-        F.posexplode_outer(
-            F.arrays_zip(
-                F.col("w").alias("word"),
-                F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("next"),
-            )
-        ).alias("pos", "p"),
-    ).select(key, "pos", F.col("p.word").alias("word"), F.col("p.next").alias("next"))
-    placed = placed.withColumn("pair", F.when(F.col("next").isNotNull(), pair_key))
-    table = lexicon.select(
-        F.concat_ws(" ", "a", "b").alias("pair_word"), "n", F.lit(True).alias("linked")
-    )
-    flagged = look_up(
-        placed, table, ["linked"], key="pair", word="pair_word", salt_from=[key, "pos"]
-    ).withColumn("linked", F.coalesce("linked", F.lit(False)))
-
-    by_doc = Window.partitionBy(key).orderBy("pos")
-    last_break = F.max(F.when(~F.col("linked"), F.col("pos"))).over(
-        by_doc.rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # Place within the run of linked pairs: 1, 2, 3, ...; odd places are joined.
-    place = F.col("pos") - F.coalesce(last_break, F.lit(-1))
-    runs = flagged.withColumn("joined", F.col("linked") & (F.pmod(place, F.lit(2)) == 1))
-    taken = F.coalesce(F.lag("joined").over(by_doc), F.lit(False))
-    piece = F.when(
-        ~F.col("taken") & F.col("word").isNotNull(),
-        F.struct(
-            "pos",
-            F.when(F.col("joined"), F.concat_ws("_", "word", "next")).otherwise(F.col("word")).alias("piece"),
-        ),
-    )
-    lists = (
-        runs.withColumn("taken", taken)
-        .select(key, piece.alias("piece"))
-        .groupBy(key)
-        .agg(F.collect_list("piece").alias("pieces"))
-    )
-    ordered = F.transform(F.array_sort("pieces"), lambda p: p["piece"])
-    return lists.select(key, F.array_join(ordered, " ").alias(text))
+    table = lexicon.select(F.concat_ws(" ", "a", "b").alias("word"), "n", F.lit(True).alias("linked"))
+    return rewrite_texts(docs, key, text, X.words(text), table, "linked", _pairs, _joined, "string", text, budget=budget)
