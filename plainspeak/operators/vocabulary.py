@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.fixed_values import SEQUENCE_LENGTH, VECTOR_VOCABULARY_LIMIT
-from .lookup import look_up
+from .blocks import rewrite_texts
 from .numbering import number_rows
 
 #: Vectors of so many words may be broadcast (64 dimensions: about 30 MB).
@@ -50,35 +54,27 @@ def fit_vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     return ranked.select("word", "n", "idx")
 
 
+def _numbers(texts: list[list[str]], numbers: dict[str, int]) -> list[int]:
+    """Numbers of the known words of one text; the texts of a repeated key word by word beside one another."""
+    if len(texts) == 1:
+        return [numbers[w] for w in texts[0] if w in numbers]
+    placed = sorted((i, numbers[w]) for words in texts for i, w in enumerate(words) if w in numbers)
+    return [n for _, n in placed]
+
+
 def known_ids(
-    docs: DataFrame,
-    vocabulary: DataFrame,
-    key: str,
-    text: str,
-    budget: int | None = None,
-    limit: int | None = None,
+    docs: DataFrame, vocabulary: DataFrame, key: str, text: str, budget: int | None = None
 ) -> DataFrame:
     """Word numbers of each text in order, unknown words dropped. Columns: key, ids.
     ``key`` is unique; texts without a known word have an empty list.
 
-    Numbers are gathered into lists in the map tasks, so what is shuffled is one compact
-    list a document, not a row a word. A group is one document.
+    Texts stay whole (``blocks.rewrite_texts``): a block asks for the numbers of its distinct words.
+    A vocabulary of at most ``budget`` bytes is broadcast.
     """
-    found = look_up(
-        tokens(docs, key, text, keep_empty=True),
-        vocabulary,
-        ["idx"],
-        salt_from=[key, "pos"],
-        budget=budget,
-        limit=limit,
-    )
-    # The list skips NULLs, so only known words travel to the document's task.
-    known = F.when(
-        F.col("idx").isNotNull(),
-        F.struct(F.col("pos"), F.col("idx").cast("int").alias("idx")),
+    table = vocabulary.select("word", "n", F.col("idx").cast("int").alias("idx"))
+    return rewrite_texts(
+        docs, key, text, X.vocabulary_words(text), table, "idx", set, _numbers, "array<int>", "ids", budget=budget
     )
-    lists = found.groupBy(key).agg(F.collect_list(known).alias("known"))
-    return lists.select(key, F.transform(F.array_sort("known"), lambda p: p["idx"]).alias("ids"))
 
 
 def encode(
@@ -91,8 +87,9 @@ def encode(
     limit: int | None = None,
 ) -> DataFrame:
     """The last ``length`` known word numbers of each text, zeros in front. Columns: key,
-    encoded. Texts without a known word come out as all zeros."""
-    ids = known_ids(docs, vocabulary, key, text, budget, limit)
+    encoded. Texts without a known word come out as all zeros. A vocabulary of at most ``budget`` bytes
+    is broadcast; ``limit`` has no effect any more: words aren't split by frequency."""
+    ids = known_ids(docs, vocabulary, key, text, budget)
     return ids.select(key, pad_front("ids", length).alias("encoded"))
 
 
@@ -138,6 +135,45 @@ def _small(rows: DataFrame, limit: int | None) -> DataFrame:
     return F.broadcast(rows) if limit is not None and limit <= BROADCAST_WORDS else rows
 
 
+def _pooled(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = shared.value
+        limit, dimension = vectors.shape
+        for batch in batches:
+            ids = batch.column("ids")
+            places, ends = ids.flatten().to_numpy(), np.cumsum(ids.value_lengths().to_numpy())
+            places = np.where(places < limit, places, 0)
+            mean, most = np.zeros((2, len(batch), dimension))
+            sizes = np.diff(ends, prepend=0)
+            for row, (size, end) in enumerate(zip(sizes, ends)):
+                if size:  # distinct words, so that a long text needs no more than the vectors themselves
+                    found, times = np.unique(places[end - size : end], return_counts=True)
+                    mine = vectors[found].astype(np.float64)
+                    mean[row], most[row] = times @ mine / size, np.fmax.reduce(mine)
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * dimension)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (mean, most)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(sizes.astype(np.int64)), *lists], names=["key", "n_words", "mean", "max"]
+            )
+
+    return run
+
+
+def _pooled_in_rows(ids: DataFrame, matrix: DataFrame, key: str, dimension: int, limit: int) -> DataFrame:
+    rows = matrix.filter((F.col("idx") < limit) & F.col("vec").isNotNull()).select("idx", "vec").toArrow()  # at most ``limit``
+    vectors = np.zeros((max(limit, 1), dimension), np.float64)
+    if len(rows):
+        flat = rows["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vectors = vectors.astype(flat.dtype)
+        vectors[rows["idx"].to_numpy()] = flat.reshape(len(rows), dimension)
+    shared = ids.sparkSession.sparkContext.broadcast(vectors)
+    kind = ids.schema[key].dataType.simpleString()
+    done = ids.select(F.col(key).alias("key"), "ids").mapInArrow(
+        _pooled(shared), f"key {kind}, n_words bigint, mean array<double>, max array<double>"
+    )
+    return done.select(F.col("key").alias(key), "n_words", "mean", "max")
+
+
 def pool_vectors(
     docs: DataFrame,
     vocabulary: DataFrame,
@@ -150,13 +186,13 @@ def pool_vectors(
     """Mean and maximum, per dimension, of the vectors of all known words of a text;
     zeros for texts without one. Columns: key, n_words, mean, max.
 
-    Numbers are gathered per document first; everything after that stays in the
-    document's task. Words are counted there, so each distinct word of a document meets
-    its vector once. Words numbered ``limit`` or more have zero vectors and share one
-    weighted zero row. The side of the vectors is broadcast up to BROADCAST_WORDS rows; with a larger
-    ``limit``, or None, the join is Spark's choice by size.
+    Numbers are gathered per document first. Words numbered ``limit`` or more have zero vectors. Up to
+    BROADCAST_WORDS vectors are broadcast and pooled in the document's row; with a larger ``limit``, or
+    None, each distinct word of a document meets its vector in a join that is Spark's choice by size.
     """
     ids = known_ids(docs, vocabulary, key, text)
+    if limit is not None and limit <= BROADCAST_WORDS:
+        return _pooled_in_rows(ids, matrix, key, dimension, limit)
     slot = F.col("idx") if limit is None else F.when(F.col("idx") < limit, F.col("idx")).otherwise(F.lit(0))
     counted = (
         ids.select(key, F.size("ids").cast("bigint").alias("n_words"), F.explode_outer("ids").alias("idx"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from plainspeak.operators import blocks, phrases
+from plainspeak.operators import blocks, phrases, vocabulary
 
 
 def plan(df):
@@ -38,3 +38,20 @@ def test_join_phrases_of_repeated_keys(spark):
     lexicon = spark.createDataFrame([("a", "b", 9)], "a string, b string, n long")
     got = {r["id"]: r["t"] for r in phrases.join_phrases(docs, lexicon, "id", "t").collect()}
     assert got == {1: "x x a_b b", None: "a_b"}
+
+
+def test_ids_and_pooling_keep_texts_whole(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 64)
+    docs = spark.createDataFrame([(1, "a b, zz a"), (2, None), (3, ""), (4, "c " * 40)], "id long, t string")
+    words = spark.createDataFrame([("a", 9, 1), ("b", 5, 2), ("c", 2, 3)], "word string, n long, idx long")
+    for budget in (None, 0):
+        ids = vocabulary.known_ids(docs, words, "id", "t", budget=budget)
+        assert {r["id"]: r["ids"] for r in ids.collect()} == {1: [1, 2, 1], 2: [], 3: [], 4: [3] * 40}
+        assert "posexplode" not in plan(ids)
+    matrix = spark.createDataFrame([(1, "a", [1.0, -4.0]), (2, "b", [4.0, -1.0])], "idx long, word string, vec array<float>")
+    pooled = vocabulary.pool_vectors(docs, words, matrix, "id", "t", 2, limit=3)
+    assert {r["id"]: tuple(r)[1:] for r in pooled.collect()} == {
+        1: (3, [2.0, -3.0], [4.0, -1.0]), 2: (0, [0.0, 0.0], [0.0, 0.0]),
+        3: (0, [0.0, 0.0], [0.0, 0.0]), 4: (40, [0.0, 0.0], [0.0, 0.0]),
+    }
+    assert "ObjectHashAggregate" not in plan(pooled)  # sorted a vector a word
