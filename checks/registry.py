@@ -531,10 +531,11 @@ def stream_bad_records(spark, folder):
     fields = F.struct("event_id", "user", "comment", F.col("timestamp").cast("string").alias("timestamp"))
     cut = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))
     line = F.when(F.col("event_id") % 50 == 7, cut).otherwise(F.to_json(fields))
-    lines = t.scored_events(spark, folder).repartition(t.STREAM_FILES, "event_id").select(line.alias("value"))
+    files = t.batch_files(t.table(spark, folder, "events"))
+    lines = t.scored_events(spark, folder).repartition(t.STREAM_BATCHES * files, "event_id").select(line.alias("value"))
     lines.write.text(inbox)
     stream = intake.stream_inbox(
-        spark, inbox, archive, 1, t.T._parse_datatype_string("event_id bigint")
+        spark, inbox, archive, files, t.T._parse_datatype_string("event_id bigint")
     )
     intake.take_all(stream, out, archive)
     empty = not [n for n in folder_names(spark, inbox) if n.startswith("part-")]

@@ -153,26 +153,34 @@ def labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-#: Files a stream is staged as; each is a micro-batch of its own.
-STREAM_FILES = 4
+#: Micro-batches a stream is staged for.
+STREAM_BATCHES = 4
 _STAGED: dict[tuple, str] = {}
 
 
-def _stream(spark: SparkSession, folder: str, name: str, rows, extra: str) -> DataFrame:
+def batch_files(scan: DataFrame) -> int:
+    """Files of a micro-batch: as many as the input has scan tasks, so that no file, nor the task that
+    writes it, grows with the input."""
+    return max(1, scan.rdd.getNumPartitions())
+
+
+def _stream(spark: SparkSession, folder: str, source: str, name: str, rows, extra: str) -> DataFrame:
     """Comments as a stream of JSON files in the shared folder, written once a session."""
     fields = T._parse_datatype_string(extra)
+    files = batch_files(table(spark, folder, source))
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _STAGED:
         path = work_path(spark, name)
-        write_comments(rows().repartition(STREAM_FILES, fields.fieldNames()[0]), path, extra=fields)
+        write_comments(rows().repartition(STREAM_BATCHES * files, fields.fieldNames()[0]), path, extra=fields)
         _STAGED[key] = path
-    return stream_comments(spark, _STAGED[key], files_per_trigger=1, extra=fields)
+    return stream_comments(spark, _STAGED[key], files_per_trigger=files, extra=fields)
 
 
 def document_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Captured documents, with doc_id and n_chars."""
     return _stream(
-        spark, folder, "document-inbox", lambda: comments(spark, folder, "n_chars"), "doc_id bigint, n_chars bigint"
+        spark, folder, "documents", "document-inbox", lambda: comments(spark, folder, "n_chars"),
+        "doc_id bigint, n_chars bigint",
     )
 
 
@@ -195,7 +203,7 @@ _EVENT_FIELDS = "event_id bigint, prediction int"
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return _stream(spark, folder, "event-inbox", lambda: scored_events(spark, folder), _EVENT_FIELDS)
+    return _stream(spark, folder, "events", "event-inbox", lambda: scored_events(spark, folder), _EVENT_FIELDS)
 
 
 def arrivals(spark: SparkSession, folder: str, deliver) -> None:

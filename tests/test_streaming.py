@@ -302,3 +302,23 @@ def test_timeline_crash_before_the_entry(spark, tmp_path):
     assert shown_minutes(line.minutes()) == {0: [1, 0, 0], 83: [0, 1, 1]}
     assert [r["id"] for r in line.late_rows().collect()] == [3]
     assert shown_minutes(line.minutes(with_late=True)) == {0: [1, 0, 1], 83: [0, 1, 1]}
+
+
+def test_staged_files_follow_the_input(spark, tmp_path):
+    from checks import tables
+    from plainspeak.session import folder_names
+
+    docs = spark.range(240).selectExpr("id AS doc_id", "concat('text ', id) AS text", "9L AS n_chars")
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    events = spark.range(240).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id AS user_id")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        tables.document_stream(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    staged = tables._STAGED[spark.sparkContext.applicationId, str(tmp_path), "document-inbox"]
+    files = [n for n in folder_names(spark, staged) if n.startswith("part-")]
+    assert len(files) > 4
+    assert spark.read.json(staged).count() == 240
