@@ -181,8 +181,18 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(lang, block.pairs(np.ones(len(block.near), bool)))
 
 
+def _new(now: np.ndarray, before: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    """Neighbours that are both let in now and weren't both before."""
+    let_in = _inside(now, hashes)
+    both = let_in[:-1] & let_in[1:]
+    if before is not None:
+        old = _inside(before, hashes)
+        both &= ~(old[:-1] & old[1:])
+    return both
+
+
 def _counted(maps, first: bool):
-    """One pass. ``maps``: bit maps of words and of pairs, now and in the pass before."""
+    """One pass. ``maps``: bit maps of words and of pairs, now and in the pass before (None: there was none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs, old_words, old_pairs = maps.value
@@ -192,12 +202,9 @@ def _counted(maps, first: bool):
                 yield _rows(lang, found)
                 yield _rows(lang, (pa.array([""]), [int(found[1].sum())]))
             if len(block.near):
-                w, old = _inside(words, block.hashes), _inside(old_words, block.hashes)
-                yield _rows(lang, block.pairs(w[:-1] & w[1:] & ~(old[:-1] & old[1:])))
+                yield _rows(lang, block.pairs(_new(words, old_words, block.hashes)))
             if len(block.near) > 1:
-                hashes = block.pair_hashes()
-                p, old = _inside(pairs, hashes), _inside(old_pairs, hashes)
-                yield _rows(lang, block.triples(p[:-1] & p[1:] & ~(old[:-1] & old[1:])))
+                yield _rows(lang, block.triples(_new(pairs, old_pairs, block.pair_hashes())))
 
     return run
 
@@ -243,14 +250,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE)
     seen = some.mapInArrow(_sampled, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     seen = seen.withColumn("size", _size())
     now = _bit_maps(seen.filter(F.col("n") >= min(SAMPLE_LEAST, least)))
-    before = {k: np.zeros_like(v) for k, v in now.items()}
+    before = dict.fromkeys(now)
     found = None
     for pass_ in range(MAX_PASSES):
         maps = spark.sparkContext.broadcast((now[1], now[2], before[1], before[2]))
         counted = docs.mapInArrow(_counted(maps, pass_ == 0), _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         counted = counted.filter((F.col("n") >= least) | (F.col("phrase") == ""))
         counted = keep(counted.withColumn("size", _size()), "mining-pass")
-        maps.unpersist()
+        maps.destroy()
         found = counted if found is None else found.unionByName(counted)
         more = _bit_maps(counted.filter("size > 0"))
         before, now = now, {k: now[k] | more[k] for k in now}

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import page_text  # noqa: F401  the functions below are shipped by name, without the module
 from .common import keep, left_join_by_key, whole_text
 from .page_text import analyse, host_of
 
