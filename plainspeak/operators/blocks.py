@@ -27,7 +27,7 @@ def _terms_of(terms: Callable[[list[str]], Iterable[str]]):
     def run(block: pa.Table) -> pa.Table:
         found: set[str] = set()
         for line in block["line"].to_pylist():
-            found.update(terms(line.split(" ") if line else []))
+            found.update(terms(line.split(" ")[1:]))
         number = block["block"][0].as_py()
         return pa.table({"block": pa.array([number] * len(found), pa.int64()), "term": pa.array(list(found), pa.string())})
 
@@ -47,7 +47,7 @@ def _rewritten(rewrite: Callable[[list[list[str]], dict[str, Any]], Any], kind:
                 place[key] = len(texts)
                 at.append(row)
                 texts.append([])
-            texts[place[key]].append(line.split(" ") if line else [])
+            texts[place[key]].append(line.split(" ")[1:])
         out = pa.array([rewrite(t, values) for t in texts], made)
         return pa.table([block["key"].take(pa.array(at, pa.int64())), out], names=["key", "out"])
 
@@ -70,12 +70,14 @@ def rewrite_texts(
 ) -> DataFrame:
     """``key`` and ``name`` (of type ``kind``), one row a key.
 
-    ``words``: the words of ``text``, without blanks in them. ``terms`` names what a text wants to know of ``table``
+    ``words``: the words of ``text``, without blanks in them, empty ones included. ``terms`` names what a text wants to know of ``table``
     (``word``, ``n``, ``value``; one row a word), ``rewrite`` gets the word lists of all rows of a key, with the values found.
     ``docs`` is read to measure it, so costly cleaning is best stored before. A table of at most ``budget`` bytes is broadcast.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    lines = docs.select(F.col(key).alias("key"), F.coalesce(F.array_join(words, " "), F.lit("")).alias("line"))
+    # A blank before each word tells no word from one empty word.
+    line = F.array_join(F.concat(F.array(F.lit("")), words), " ")
+    lines = docs.select(F.col(key).alias("key"), F.coalesce(line, F.lit("")).alias("line"))
     block = F.pmod(F.xxhash64("key"), F.lit(size // BLOCK_BYTES + 1)).alias("block")
     dealt = lines.select(block, "key", "line").repartition("block")
     wanted = dealt.groupBy("block").applyInArrow(_terms_of(terms), "block long, term string")

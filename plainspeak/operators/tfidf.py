@@ -6,11 +6,13 @@ Same numbers as the feature stages of ``plans.training`` (term count times
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .lookup import look_up
+from .blocks import rewrite_texts
 
 
 _BREAKS = " \t\n\x0b\f\r"
@@ -27,23 +29,24 @@ def ml_words(text):
     )
 
 
+def _counted(texts: list[list[str]], idf: dict[str, float]) -> list[tuple[str, int, float]]:
+    return [(term, tf, idf[term]) for term, tf in Counter(w for words in texts for w in words).items()]
+
+
 def term_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf, tfidf. ``key`` is unique.
 
     Document frequencies come first, from the distinct terms of each text, combined in the map tasks; only
-    they are stored. Then texts are shuffled whole, before they are taken apart, and terms are counted
-    within the document's task. ``docs`` is read twice, so costly cleaning is best stored before.
+    they are stored. Texts stay whole (``blocks.rewrite_texts``): a block asks for the weights of its distinct
+    terms, and terms are counted in the document's row. ``docs`` is read more than once, so costly cleaning
+    is best stored before.
     """
     terms = F.explode(F.array_distinct(ml_words(text))).alias("term")
-    frequency = stored(docs.select(terms).groupBy("term").agg(F.count("*").alias("df")), "document-frequency")
+    frequency = stored(docs.select(terms).groupBy("term").agg(F.count("*").alias("n")), "document-frequency")
     documents = docs.count()
-    frequency = frequency.withColumn("idf", F.ln(F.lit(float(documents + 1)) / (F.col("df") + 1)))
-    counts = (
-        docs.select(key, text)
-        .repartition(key)
-        .select(key, F.explode(ml_words(text)).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    weighed = look_up(counts, frequency, ["idf"], key="term", word="term", count="df", salt_from=[key])
+    frequency = frequency.withColumn("idf", F.ln(F.lit(float(documents + 1)) / (F.col("n") + 1)))
+    weighed = rewrite_texts(
+        docs, key, text, ml_words(text), frequency, "idf", set, _counted,
+        "array<struct<term:string,tf:bigint,idf:double>>", "weighed", word="term",
+    ).select(key, F.inline("weighed"))
     return weighed.select(key, "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))

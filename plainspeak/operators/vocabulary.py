@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.fixed_values import SEQUENCE_LENGTH, VECTOR_VOCABULARY_LIMIT
 from .blocks import rewrite_texts
+from .lookup import look_up
 from .numbering import number_rows
 
 #: Vectors of so many words may be broadcast (64 dimensions: about 30 MB).
@@ -63,14 +64,41 @@ def _numbers(texts: list[list[str]], numbers: dict[str, int]) -> list[int]:
 
 
 def known_ids(
-    docs: DataFrame, vocabulary: DataFrame, key: str, text: str, budget: int | None = None
+    docs: DataFrame,
+    vocabulary: DataFrame,
+    key: str,
+    text: str,
+    budget: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Word numbers of each text in order, unknown words dropped. Columns: key, ids.
     ``key`` is unique; texts without a known word have an empty list.
 
-    Texts stay whole (``blocks.rewrite_texts``): a block asks for the numbers of its distinct words.
-    A vocabulary of at most ``budget`` bytes is broadcast.
+    Numbers are gathered into lists in the map tasks, so what is shuffled is one compact
+    list a document, not a row a word. A group is one document.
     """
+    found = look_up(
+        tokens(docs, key, text, keep_empty=True),
+        vocabulary,
+        ["idx"],
+        salt_from=[key, "pos"],
+        budget=budget,
+        limit=limit,
+    )
+    # The list skips NULLs, so only known words travel to the document's task.
+    known = F.when(
+        F.col("idx").isNotNull(),
+        F.struct(F.col("pos"), F.col("idx").cast("int").alias("idx")),
+    )
+    lists = found.groupBy(key).agg(F.collect_list(known).alias("known"))
+    return lists.select(key, F.transform(F.array_sort("known"), lambda p: p["idx"]).alias("ids"))
+
+
+def ids_by_block(
+    docs: DataFrame, vocabulary: DataFrame, key: str, text: str, budget: int | None = None
+) -> DataFrame:
+    """``known_ids`` for large inputs, the same rows. Texts stay whole (``blocks.rewrite_texts``): a block asks
+    for the numbers of its distinct words. A vocabulary of at most ``budget`` bytes is broadcast."""
     table = vocabulary.select("word", "n", F.col("idx").cast("int").alias("idx"))
     return rewrite_texts(
         docs, key, text, X.vocabulary_words(text), table, "idx", set, _numbers, "array<int>", "ids", budget=budget
@@ -89,7 +117,7 @@ def encode(
     """The last ``length`` known word numbers of each text, zeros in front. Columns: key,
     encoded. Texts without a known word come out as all zeros. A vocabulary of at most ``budget`` bytes
     is broadcast; ``limit`` has no effect any more: words aren't split by frequency."""
-    ids = known_ids(docs, vocabulary, key, text, budget)
+    ids = ids_by_block(docs, vocabulary, key, text, budget)
     return ids.select(key, pad_front("ids", length).alias("encoded"))
 
 
@@ -190,7 +218,7 @@ def pool_vectors(
     BROADCAST_WORDS vectors are broadcast and pooled in the document's row; with a larger ``limit``, or
     None, each distinct word of a document meets its vector in a join that is Spark's choice by size.
     """
-    ids = known_ids(docs, vocabulary, key, text)
+    ids = ids_by_block(docs, vocabulary, key, text)
     if limit is not None and limit <= BROADCAST_WORDS:
         return _pooled_in_rows(ids, matrix, key, dimension, limit)
     slot = F.col("idx") if limit is None else F.when(F.col("idx") < limit, F.col("idx")).otherwise(F.lit(0))

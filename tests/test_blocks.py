@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from plainspeak.operators import blocks, phrases, vocabulary
+from plainspeak.operators import blocks, phrases, tfidf, vocabulary
 
 
 def plan(df):
@@ -45,7 +45,7 @@ def test_ids_and_pooling_keep_texts_whole(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b, zz a"), (2, None), (3, ""), (4, "c " * 40)], "id long, t string")
     words = spark.createDataFrame([("a", 9, 1), ("b", 5, 2), ("c", 2, 3)], "word string, n long, idx long")
     for budget in (None, 0):
-        ids = vocabulary.known_ids(docs, words, "id", "t", budget=budget)
+        ids = vocabulary.ids_by_block(docs, words, "id", "t", budget=budget)
         assert {r["id"]: r["ids"] for r in ids.collect()} == {1: [1, 2, 1], 2: [], 3: [], 4: [3] * 40}
         assert "posexplode" not in plan(ids)
     matrix = spark.createDataFrame([(1, "a", [1.0, -4.0]), (2, "b", [4.0, -1.0])], "idx long, word string, vec array<float>")
@@ -55,3 +55,12 @@ def test_ids_and_pooling_keep_texts_whole(spark, monkeypatch):
         3: (0, [0.0, 0.0], [0.0, 0.0]), 4: (40, [0.0, 0.0], [0.0, 0.0]),
     }
     assert "ObjectHashAggregate" not in plan(pooled)  # sorted a vector a word
+
+
+def test_term_weights_keep_texts_whole(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 8)
+    docs = spark.createDataFrame([(1, "A a\tb"), (2, ""), (3, " "), (4, None), (5, "a  b")], "id long, t string")
+    found = tfidf.term_weights(docs, "id", "t")
+    counts = {(r["id"], r["term"]): r["tf"] for r in found.collect()}
+    assert counts == {(1, "a"): 2, (1, "b"): 1, (2, ""): 1, (5, "a"): 1, (5, ""): 1, (5, "b"): 1}
+    assert "HashAggregate" not in plan(found)  # grouped a row a term of a text
