@@ -16,41 +16,26 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..session import stored
 from .blocks import rewrite_texts
-from .frames import compute_once
+from .counts import ALL, count_terms
 from .lookup import look_up
 
 
-def adjacent_pairs(docs: DataFrame, text: str) -> DataFrame:
-    """a, b: every pair of neighbouring words. Built inside the row; no self-join."""
-    words = compute_once(docs.select(text), "w", X.words(text))
-    pairs = F.arrays_zip(
-        F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"),
-        F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"),
-    )
-    return words.select(F.inline(pairs).alias("a", "b"))
-
-
 def fit_phrases(
     docs: DataFrame, text: str, min_count: int = 5, threshold: float = 10.0, discount: int = 5
 ) -> DataFrame:
-    """a, b, n, score. Counting combines in the map tasks; rare pairs are dropped before
-    the word counts are looked up, and those look-ups are safe for frequent words.
-    ``docs`` is read twice (pairs, words), so costly cleaning is best stored before."""
-    pairs = (
-        adjacent_pairs(docs, text)
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_count)
-    )
-    words = stored(
-        docs.select(F.explode(X.words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n")),
-        "word-counts",
-    )
-    total = words.agg(F.sum("n")).first()[0] or 0
+    """a, b, n, score. Words and pairs are counted in one pass, in whole texts (``counts.count_terms``); what is frequent
+    is stored before the word counts are looked up, and those look-ups are safe for frequent words.
+    ``docs`` is read twice (size, counts), so costly cleaning is best stored before."""
     # A word of a kept pair occurs at least min_count times itself.
-    frequent = words.filter(F.col("n") >= min_count)
-    first = frequent.select("word", "n", F.col("n").alias("n_a"))
-    second = frequent.select("word", "n", F.col("n").alias("n_b"))
+    counts = stored(count_terms(docs, text, pairs=True, least=min_count), "term-counts")
+    total = counts.filter(F.col("term") == ALL).agg(F.sum("n")).first()[0] or 0
+    is_pair = F.contains("term", F.lit(" "))
+    pairs = counts.filter(is_pair).select(
+        F.substring_index("term", " ", 1).alias("a"), F.substring_index("term", " ", -1).alias("b"), "n"
+    )
+    words = counts.filter(~is_pair & (F.col("term") != ALL))
+    first = words.select(F.col("term").alias("word"), "n", F.col("n").alias("n_a"))
+    second = words.select(F.col("term").alias("word"), "n", F.col("n").alias("n_b"))
     counted = look_up(pairs, first, ["n_a"], key="a", salt_from=["a", "b"])
     counted = look_up(counted, second, ["n_b"], key="b", salt_from=["a", "b"])
     score = (
