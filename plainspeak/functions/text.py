@@ -95,11 +95,14 @@ def strip_emoji(text: Column | str, extended: bool = False) -> Column:
     return stripped if extended else F.when(may_hold_emoji(text), stripped).otherwise(text)
 
 
+def _spaced(text: Column | str, characters: str) -> Column:
+    return F.translate(_column(text), characters, " " * len(characters))
+
+
 def _split_at(text: Column | str, characters: str) -> Column:
     """Non-empty pieces between the given characters. Mapping characters to a space and
     splitting at the single space needs no regular expression."""
-    spaced = F.translate(_column(text), characters, " " * len(characters))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.filter(F.split(_spaced(text, characters), " "), lambda w: w != "")
 
 
 def words(text: Column | str) -> Column:
@@ -149,6 +152,11 @@ def vocabulary_words(text: Column | str) -> Column:
     return _split_at(text, V.VOCABULARY_SEPARATORS)
 
 
+def vocabulary_line(text: Column | str) -> Column:
+    """The text with ``vocabulary_words`` between single spaces or runs of them."""
+    return _spaced(text, V.VOCABULARY_SEPARATORS)
+
+
 def strip_punctuation(text: Column | str) -> Column:
     """Drop everything but letters, digits, underscore and white space."""
     return F.regexp_replace(_column(text), rf"[^\p{{L}}\p{{N}}_{V.WHITESPACE_CLASS}]", "")

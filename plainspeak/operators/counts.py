@@ -59,6 +59,12 @@ def split_words(texts: pa.ChunkedArray, separator: str | None = None) -> tuple[p
     return words.filter(filled), rows[filled.to_numpy(zero_copy_only=False)]
 
 
+def places_in_rows(rows: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... for the words of each row."""
+    sizes = np.bincount(rows)
+    return np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _counted(pairs: bool, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text"):

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.fixed_values import SEQUENCE_LENGTH, VECTOR_VOCABULARY_LIMIT
-from .blocks import rewrite_texts
+from .blocks import number_texts
+from .counts import chunks, places_in_rows, split_words
 from .lookup import look_up
 from .numbering import number_rows
 
 #: Vectors of so many words may be broadcast (64 dimensions: about 30 MB).
 BROADCAST_WORDS = 100_000
 _POSITION_RANGE = 4294967296  # more than an array can hold
+_BATCH_ROWS = 1 << 16
 
 
 def tokens(docs: DataFrame, key: str, text: str, keep_empty: bool = False) -> DataFrame:
@@ -29,40 +31,47 @@ def tokens(docs: DataFrame, key: str, text: str, keep_empty: bool = False) -> Da
     return docs.select(key, generate(X.vocabulary_words(text)).alias("pos", "word"))
 
 
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n, key, pos: the count of each word of a chunk and its first place there; no key if it has none."""
+    for chunk in chunks(batches, "line"):
+        words, rows = split_words(chunk["line"], " ")
+        if not len(words):
+            continue
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        keys = chunk["key"].combine_chunks()
+        distinct, ranks = np.unique(keys.fill_null(0).to_numpy(), return_inverse=True)
+        ranks = np.where(keys.is_valid().to_numpy(zero_copy_only=False), ranks, len(distinct))
+        places = places_in_rows(rows)
+        span = places.max() + 1
+        first = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(first, codes, ranks[rows] * span + places)
+        rank, pos = np.divmod(first, span)
+        key = pa.array(np.append(distinct, 0)[rank], pa.int64(), mask=rank == len(distinct))
+        table = pa.table({"word": coded.dictionary, "n": np.bincount(codes), "key": key, "pos": pos})
+        yield from table.to_batches(max_chunksize=_BATCH_ROWS)
+
+
 def fit_vocabulary(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Words numbered from 1 by falling count, ties by first appearance in key order
     (``key`` is an integer that orders the documents). Columns: word, n, idx.
 
-    Counts and first places are combined within map tasks before the shuffle. The first
+    Counts and first places are combined by chunks of whole texts before the shuffle. The first
     place is one decimal (document, then position): unlike a struct it keeps the
     aggregation in a hash table.
     """
-    base = F.col(key).cast("decimal(20,0)") * F.lit(_POSITION_RANGE).cast("decimal(10,0)")
+    lines = docs.select(F.col(key).cast("bigint").alias("key"), X.vocabulary_line(text).alias("line"))
+    base = F.col("key").cast("decimal(20,0)") * F.lit(_POSITION_RANGE).cast("decimal(10,0)")
+    place = (base.cast("decimal(38,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
     words = (
-        docs.select(
-            base.cast("decimal(38,0)").alias("base"),
-            F.posexplode(X.vocabulary_words(text)).alias("pos", "word"),
-        )
+        lines.mapInArrow(_first_seen, "word string, n bigint, key bigint, pos bigint")
         .groupBy("word")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(
-                (F.col("base") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
-            ).alias("first_place"),
-        )
+        .agg(F.sum("n").alias("n"), F.min(place).alias("first_place"))
     )
     ranked = number_rows(words, [F.desc("n"), F.asc("first_place")], "idx")
     return ranked.select("word", "n", "idx")
 
 
-def _numbers(texts: list[list[str]], numbers: dict[str, int]) -> list[int]:
-    """Numbers of the known words of one text; the texts of a repeated key word by word beside one another."""
-    if len(texts) == 1:
-        return [numbers[w] for w in texts[0] if w in numbers]
-    placed = sorted((i, numbers[w]) for words in texts for i, w in enumerate(words) if w in numbers)
-    return [n for _, n in placed]
-
-
 def known_ids(
     docs: DataFrame,
     vocabulary: DataFrame,
@@ -97,12 +106,10 @@ def known_ids(
 def ids_by_block(
     docs: DataFrame, vocabulary: DataFrame, key: str, text: str, budget: int | None = None
 ) -> DataFrame:
-    """``known_ids`` for large inputs, the same rows. Texts stay whole (``blocks.rewrite_texts``): a block asks
+    """``known_ids`` for large inputs, the same rows. Texts stay whole (``blocks.number_texts``): a block asks
     for the numbers of its distinct words. A vocabulary of at most ``budget`` bytes is broadcast."""
     table = vocabulary.select("word", "n", F.col("idx").cast("int").alias("idx"))
-    return rewrite_texts(
-        docs, key, text, X.vocabulary_words(text), table, "idx", set, _numbers, "array<int>", "ids", budget=budget
-    )
+    return number_texts(docs, key, text, X.vocabulary_words(text), table, "idx", "ids", budget=budget)
 
 
 def encode(
