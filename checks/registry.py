@@ -664,10 +664,9 @@ def model_epochs(spark, folder):
     data = t.spread(stored(t.labelled_corpus(spark, folder), "labelled"), "doc_id")
     train = data.filter(F.col("set") == "Train")
     features = training.VectorFeatures.fit(train, t.word_vectors(spark, folder), "doc_id", "text_clean", t.VECTOR_SIZE)
-    parts = {
-        part: stored(features.transform(data.filter(F.col("set") == part), "doc_id", "text_clean"), f"part-{part}")
-        for part in ("Train", "Dev")
-    }
+    used = features.transform(data.filter(F.col("set").isin("Train", "Dev")), "doc_id", "text_clean")
+    used = stored(used.drop("text_clean"), "pooled-all")
+    parts = {part: stored(used.filter(F.col("set") == part), f"part-{part}") for part in ("Train", "Dev")}
     inputs, paths = 2 * t.VECTOR_SIZE, [work_path(spark, "epochs") for _ in range(2)]
     straight = fit_epochs(parts["Train"], parts["Dev"], paths[0], inputs, epochs=3)
     fit_epochs(parts["Train"], parts["Dev"], paths[1], inputs, epochs=1)
