@@ -24,17 +24,18 @@ BUCKET_BYTES = 16 << 20
 ALL = ""
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Rows of a task by chunks of about CHUNK_BYTES in ``column``."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[pa.Table]:
+    """Rows of a task by chunks of about ``most`` bytes (CHUNK_BYTES) in ``column``."""
+    most = CHUNK_BYTES if most is None else most
     waiting: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        step = max(1, len(batch) * CHUNK_BYTES // max(1, batch.column(column).nbytes))
+        step = max(1, len(batch) * most // max(1, batch.column(column).nbytes))
         for start in range(0, len(batch), step):
             part = batch.slice(start, step)
             waiting.append(part)
             size += part.column(column).nbytes
-            if size >= CHUNK_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(waiting)
                 waiting, size = [], 0
     if waiting:

@@ -2,20 +2,21 @@
 
 In scripts that put a blank after every syllable, a word is a run of syllables. The model is learned from the corpus:
 
-1. Runs of up to ``longest`` syllables that occur ``least`` times are candidates, counted by a grouped aggregation
-   that combines in the map tasks, if wherever they are cut in two the parts meet more than RATIO times as often
-   as by chance (likelihood alone would join all that is frequent); single syllables always stay.
+1. Runs of up to ``longest`` syllables that occur ``least`` times are candidates (``runs``), if wherever they are cut in
+   two the parts meet more than RATIO times as often as by chance (likelihood alone would join all that is frequent);
+   single syllables always stay.
 2. Expectation steps: each text adds up how often it is expected to hold each candidate, over all its divisions
-   weighted by the model so far (forward and backward sums in the row); a grouped aggregation adds the texts
-   up, in whole micro-counts, so that the sums don't depend on their order. Candidates of several syllables
+   weighted by the model so far (forward and backward sums, many texts at once: ``divisions``); a grouped aggregation adds
+   the texts up, in whole micro-counts, so that the sums don't depend on their order. Candidates of several syllables
    that are expected less than ``least`` times go.
 3. A word costs minus the logarithm of its share, in whole micro-nats, so that ties are ties everywhere.
 
-A text is divided by a Viterbi pass in its row: the cheapest division, of equal ones the one with fewer words, then
+A text is divided by a Viterbi pass: the cheapest division, of equal ones the one with fewer words, then
 the one whose last differing word is longer. Words are written with ``_`` between their syllables.
 
 The model has at most ``most`` words (those that occur most often), a documented bound: it is held by the driver and
-broadcast. Syllables it doesn't know cost as much as half an occurrence.
+broadcast. Syllables it doesn't know cost as much as half an occurrence. Texts with ``_`` in a syllable, which may look like
+a word of several, go through ``segment`` and ``expected_counts`` one by one.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..session import stored
-from .frames import compute_once
-from .numbering import number_rows
+from .counts import chunks, split_words
+from .divisions import NumberedModel, expected, glued
+from .runs import END, NUMBER_BYTES, frequent_runs, numbered_words, numbers_of, simple_parts
 
 LONGEST = 4
 LEAST = 5
@@ -40,6 +42,8 @@ ROUNDS = 3
 RATIO = 5
 MOST = 200_000
 MICRO = 1_000_000
+#: Bytes of text handled at once, about.
+TEXT_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -125,39 +129,54 @@ def _counted(shared):
     """Sums of the words of the model; syllables it doesn't know stay in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, listed = shared.value
-        for batch in batches:
-            sums: dict[str, int] = {}
-            for syllables in batch.column("w").to_pylist():
+        model, numbered, chances, listed = shared.value
+        sums = np.zeros(len(listed), np.int64)
+        for chunk in chunks(batches, "numbers", NUMBER_BYTES):
+            plain = chunk.filter(pc.is_null(chunk["odd"]))
+            sums += expected(numbers_of(plain["numbers"]), numbered, chances, len(listed), MICRO)
+            for line in chunk["odd"].drop_null().to_pylist():
                 mine: dict[str, float] = {}
-                expected_counts(syllables or [], model, mine)
+                expected_counts(line.split(" "), model, mine)
                 for word, x in mine.items():
                     if word in listed:
-                        sums[word] = sums.get(word, 0) + round(x * MICRO)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["word", "n"]
-            )
+                        sums[listed[word]] += round(x * MICRO)
+        held = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(sums[held])], names=["place", "n"])
 
     return run
 
 
-def _divided(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [" ".join(segment(w or [], model.value)) for w in batch.column("w").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
+def _written(words: pa.Array, rows: np.ndarray, texts: int, joined: np.ndarray) -> pa.Array:
+    """The words of each text, ``_`` behind the joined ones, a blank behind the others, none behind the last."""
+    last = np.ones(len(rows), bool)
+    last[:-1] = rows[1:] != rows[:-1]
+    ends = np.where(last, 2, np.where(joined, 1, 0))
+    behind = pa.DictionaryArray.from_arrays(pa.array(ends, pa.int8()), pa.array([" ", "_", ""])).cast(pa.string())
+    starts = pa.array(np.searchsorted(rows, np.arange(texts + 1)), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(starts, pc.binary_join_element_wise(words, behind, "")), "")
 
-    return run
 
+def _divided(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, numbered, vocabulary = shared.value
+        for chunk in chunks(batches, "text", TEXT_BYTES):
+            words, rows = split_words(chunk["text"])
+            numbers, odd = numbered_words(words, rows, len(chunk), vocabulary)
+            texts = _written(words, rows, len(chunk), glued(numbers, numbered)[numbers != END])
+            if odd.any():
+                starts = np.searchsorted(rows, np.arange(len(chunk) + 1))
+                lists = [words[starts[k] : starts[k + 1]].to_pylist() for k in np.flatnonzero(odd)]
+                mine = pa.array([" ".join(segment(w, model)) for w in lists], pa.string())
+                texts = pc.replace_with_mask(texts, pa.array(odd), mine)
+            yield pa.RecordBatch.from_arrays([chunk["key"].combine_chunks(), texts], names=["key", "text"])
 
-def _runs_of(n: int) -> Column:
-    """(word, size) of every run of ``n`` syllables of the array ``w``."""
-    starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return run
 
-    def run(start: Column) -> Column:
-        return F.struct(F.array_join(F.slice("w", start, F.lit(n)), "_").alias("word"), F.lit(n).alias("size"))
 
-    return F.transform(starts, run)
+def _chances(model: NumberedModel) -> list[np.ndarray]:
+    """e to the minus cost of the words of each size."""
+    costs = [model.costs, *[c for _, c, _ in model.levels]]
+    return [np.array([math.exp(-c / MICRO) for c in x.tolist()], np.float64) for x in costs]
 
 
 def cohesive(counts: dict[str, int], sizes: dict[str, int], ratio: int = RATIO) -> set[str]:
@@ -177,22 +196,18 @@ def fit_words(
 ) -> WordModel:
     """The word model of all texts. Null and empty texts have no syllables; repeated rows count each time."""
     spark = docs.sparkSession
-    rows = stored(compute_once(docs.select(text), "w", X.words(F.coalesce(text, F.lit("")))).select("w"), "syllables")
-    runs = F.flatten(F.array(*[_runs_of(n) for n in range(1, longest + 1)]))
-    seen = rows.select(F.inline(runs)).groupBy("word", "size").agg(F.count(F.lit(1)).alias("n"))
-    kept = seen.filter((F.col("n") >= least) | (F.col("size") == 1))
-    # Sorted and numbered in tasks: a limit behind a sort would have the driver merge ``most`` rows of every task.
-    placed = number_rows(kept, [F.desc("n"), F.asc("size"), F.asc("word")], "place")
-    found = placed.filter(F.col("place") <= most).toArrow().sort_by("place")  # at most ``most`` rows
+    found, texts, vocabulary = frequent_runs(docs, text, longest, least, most)  # at most ``most`` rows
     words, numbers = found["word"].to_pylist(), found["n"].to_pylist()
     sizes, first = dict(zip(words, found["size"].to_pylist())), dict(zip(words, numbers))
     model = WordModel.of_counts({w: float(first[w]) for w in cohesive(first, sizes)}, longest)
-    listed = frozenset(sizes)
+    names = list(sizes)
+    listed = {w: k for k, w in enumerate(names)}
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((model, listed))
-        sums = rows.mapInArrow(_counted(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        table = sums.toArrow()  # at most ``most`` rows
-        counts = {w: n / MICRO for w, n in zip(table["word"].to_pylist(), table["n"].to_pylist())}
+        numbered = NumberedModel.of(model, vocabulary, listed)
+        shared = spark.sparkContext.broadcast((model, numbered, _chances(numbered), listed))
+        sums = texts.mapInArrow(_counted(shared), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+        table = sums.toArrow().sort_by("place")  # at most ``most`` rows
+        counts = {names[k]: n / MICRO for k, n in zip(table["place"].to_pylist(), table["n"].to_pylist())}
         model = WordModel.of_counts({w: n for w, n in counts.items() if n >= least or sizes[w] == 1}, longest)
         shared.unpersist()
     return model
@@ -201,8 +216,10 @@ def fit_words(
 def segment_texts(docs: DataFrame, model: WordModel, key: str, text: str) -> DataFrame:
     """``key`` and ``text`` with the syllables of a word joined by ``_``, words by one blank; one row a row of
     ``docs``. Null and empty texts give empty ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = compute_once(docs.select(F.col(key).alias("key"), text), "w", X.words(F.coalesce(text, F.lit("")))).select("key", "w")
+    vocabulary = simple_parts(list(model.costs))
+    numbered = NumberedModel.of(model, vocabulary, {})
+    shared = docs.sparkSession.sparkContext.broadcast((model, numbered, pa.array(vocabulary, pa.string())))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     done = rows.mapInArrow(_divided(shared), f"key {kind}, text string")
     return done.select(F.col("key").alias(key), F.col("text").alias(text))
